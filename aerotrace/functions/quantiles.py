@@ -20,6 +20,9 @@ def exact_quantiles(
     holds most of the data still costs one sketch plus about ``4/accuracy`` of its values.
     Null values are ignored. ``probs`` maps output names to probabilities; ``n`` is the count.
     """
+    if not keys:
+        whole = df.withColumn("_all", F.lit(1))
+        return exact_quantiles(whole, ["_all"], value, probs, accuracy).drop("_all")
     margin = 2.0 / accuracy
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
     cuts = [
@@ -50,7 +53,7 @@ def exact_quantiles(
     plan = sketch.select(
         *keys, "n", F.array(*[bracket(i, q) for i, q in enumerate(probs.values())]).alias("_b")
     )
-    joined = data.join(plan, keys) if keys else data.crossJoin(plan)
+    joined = data.join(plan, keys)
     # One pass over the values: each lands below, inside or above every bracket. Values below
     # only add to a count; values inside are grouped by distinct value.
     spread = joined.select(
