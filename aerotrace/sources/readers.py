@@ -9,7 +9,7 @@ from aerotrace.functions.geo import in_bbox
 from aerotrace.schemas import ONTIME_COLUMNS, SNAPSHOT
 
 # Box of the contiguous US (min_lat, max_lat, min_lon, max_lon).
-CONUS_BBOX = (24.5, 49.5, -125.0, -66.9)
+CONUS_BBOX = (24.5, 49.5, -125.0, -66.5)
 
 
 def read_snapshots(
