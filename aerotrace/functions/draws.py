@@ -34,4 +34,4 @@ def triangular(u, q10, q50, q90) -> Column:
     span, left, right = hi - lo, q50 - lo, hi - q50
     rising = lo + F.sqrt(u * span * left)
     falling = hi - F.sqrt((1 - u) * span * right)
-    return F.when(span < 1e-9, q50).when(u < left / span, rising).otherwise(falling)
+    return F.when(span < 1e-9, q50).when(u * span < left, rising).otherwise(falling)

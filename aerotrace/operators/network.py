@@ -195,7 +195,7 @@ def recent_node_ops(legs: DataFrame, as_of, buckets: int = TRAILING) -> DataFram
     counted = events.where((F.col("b") >= 0) & (F.col("b") < buckets)).groupBy("airport", "b").agg(
         F.count(F.lit(1)).alias("ops_count"), F.sum("c").alias("cancellations")
     )
-    t = F.timestamp_micros(F.unix_micros(start) + F.col("b") * F.lit(BUCKET_MIN * 60_000_000))
+    t = F.timestamp_micros(F.unix_micros(start) + F.col("b").cast("long") * F.lit(BUCKET_MIN * 60_000_000))
     return counted.select(
         "airport",
         "b",
@@ -239,9 +239,24 @@ def ripple(
         state = spread_once(state, edges, ["delta"], scenario)
         part = state.withColumn("hop", F.lit(hop))
         total = part if total is None else total.unionByName(part)
-    listed = neighbors.select(
-        F.col("src").alias("closed_airport"), F.col("dst").alias("airport"), "rank"
+    listed = (
+        closures.select(
+            F.col("airport").alias("closed_airport"), F.col("bucket").alias("closed_bucket")
+        )
+        .join(
+            neighbors.select(
+                F.col("src").alias("closed_airport"), F.col("dst").alias("airport"), "rank"
+            ),
+            "closed_airport",
+        )
+        .withColumn("hop", F.explode(F.sequence(F.lit(1), F.lit(hops))))
     )
-    return listed.join(total, ["closed_airport", "airport"]).select(
-        "closed_airport", "closed_bucket", F.col("airport").alias("neighbor"), "rank", "hop", "delta"
+    return listed.join(
+        total, ["closed_airport", "closed_bucket", "airport", "hop"], "left"
+    ).select(
+        *scenario,
+        F.col("airport").alias("neighbor"),
+        "rank",
+        "hop",
+        F.coalesce("delta", F.lit(0.0)).alias("delta"),
     )

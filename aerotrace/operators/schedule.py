@@ -67,7 +67,7 @@ def _median(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
     counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    return counts.groupBy(*keys).agg(F.percentile(col, 0.5, "_n").alias(out))
+    return counts.groupBy(*keys).agg(F.percentile(col, 0.5, F.col("_n")).alias(out))
 
 
 def taxi_in_medians(train: DataFrame, col: str = "taxi_in_min") -> dict[str, DataFrame]:

@@ -147,7 +147,7 @@ def window_features(w: DataFrame) -> DataFrame:
 
     def step(i: Column) -> Column:
         cur, prev = F.col("points")[i], F.col("points")[i - 1]
-        dt_s = seconds_between(cur["ts"], prev["ts"])
+        dt_s = F.nullif(seconds_between(cur["ts"], prev["ts"]), F.lit(0.0))
         at = lambda p: (
             enu_east(p["lat"], p["lon"], p0["lat"], p0["lon"]),
             enu_north(p["lat"], p["lon"], p0["lat"], p0["lon"]),
@@ -168,7 +168,7 @@ def window_features(w: DataFrame) -> DataFrame:
 
     last = F.size("points") - 1
     stepped = w.withColumn("steps", F.transform(F.sequence(F.lit(1), last), step))
-    return stepped.where(F.forall("steps", lambda s: s["dt_s"] > 0))
+    return stepped.where(F.forall("steps", lambda s: F.coalesce(s["dt_s"] > 0, F.lit(False))))
 
 
 def dest_context(w: DataFrame, lat: str, lon: str) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerotrace.operators.slicing import SLICE, row_number_sliced, time_slice
-from aerotrace.session import configure
+from aerotrace.session import configure, stored
+
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -182,6 +184,18 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kept(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived view as a stored table, written once per session.
+
+    The reference reads flights and reports from tables; plans that use them several times
+    should not derive them again each time.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = stored(spark, {"flights": flights, "reports": reports}[name](spark, sf_dir), name)
+    return _STORED[key]
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aircraft types: two known ones, one unknown code, one missing."""
     u = F.col("user_id")

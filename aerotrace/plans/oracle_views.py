@@ -278,5 +278,7 @@ def sql(body: str, *needs: str) -> str:
 
     for n in needs:
         add(n)
-    ctes = ", ".join(f"{n} AS ({VIEWS[n][1]})" for n in ordered)
+    # Kept once: recursive queries read them at every step.
+    once = lambda n: "" if "UNION ALL" in VIEWS[n][1] and f"{n} " in VIEWS[n][1] else "MATERIALIZED "
+    ctes = ", ".join(f"{n} AS {once(n)}({VIEWS[n][1]})" for n in ordered)
     return f"WITH RECURSIVE {ctes} {body}" if ordered else body

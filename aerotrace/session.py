@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -51,3 +51,14 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="run-")
     return f"{base.rstrip('/')}/aerotrace-{label}-{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate to the shared scratch folder and read it back.
+
+    For tables that a plan uses several times: the work is done once and survives the loss of
+    executors, which a cached or locally checkpointed table would not.
+    """
+    path = scratch_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
