@@ -26,12 +26,15 @@ def _check_fractions(train: float, val: float) -> None:
 def chronological_split(
     df: DataFrame, ts: str, train: float = TRAIN_FRAC, val: float = VAL_FRAC
 ) -> DataFrame:
-    """Add ``fold`` by elapsed time between the first and last timestamp; cuts are half-open."""
+    """Add ``fold`` by elapsed time between the first and last timestamp; cuts are half-open.
+
+    The two bounds are read first (one row), so a later filter on the fold is a plain comparison
+    with literals that reaches the scan.
+    """
     _check_fractions(train, val)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    span = df.agg(F.struct(F.min(us).alias("lo"), F.max(us).alias("hi")).alias("s")).scalar()
-    length = (span["hi"] - span["lo"]).cast("double")
-    cut = lambda f: span["lo"] + length * f
+    lo, hi = df.agg(F.min(us), F.max(us)).first()
+    cut = lambda f: F.lit(None if lo is None else lo + float(hi - lo) * f)
     return df.withColumn(
         "fold",
         F.when(us < cut(train), "train").when(us < cut(train + val), "val").otherwise("test"),
@@ -43,15 +46,13 @@ def bucket_split(
 ) -> DataFrame:
     """Add ``fold`` by position of the bucket on the even time axis."""
     _check_fractions(train, val)
-    span = grid.agg(
-        F.struct(F.min(bucket).alias("lo"), F.max(bucket).alias("hi")).alias("s")
-    ).scalar()
-    total = (span["hi"] - span["lo"] + 1).cast("double")
-    i = F.col(bucket) - span["lo"]
+    lo, hi = grid.agg(F.min(bucket), F.max(bucket)).first()
+    total = hi - lo + 1
+    b = F.col(bucket)
     return grid.withColumn(
         "fold",
-        F.when(i < F.floor(total * train), "train")
-        .when(i < F.floor(total * (train + val)), "val")
+        F.when(b < lo + int(total * train), "train")
+        .when(b < lo + int(total * (train + val)), "val")
         .otherwise("test"),
     )
 
@@ -245,23 +246,24 @@ def ranking_metrics(df: DataFrame, score: str = "score", label: str = "label", b
     base = df.select(F.col(score).alias("s"), F.col(label).cast("int").alias("l")).withColumn(
         "_all", F.lit(1)
     )
-    cuts = base.agg(
-        F.percentile_approx("s", F.array(*[F.lit(i / bins) for i in range(1, bins)]), 10_000)
-    ).scalar()
+    facts = base.agg(
+        F.percentile_approx("s", F.array(*[F.lit(i / bins) for i in range(1, bins)]), 10_000),
+        F.count(F.lit(1)),
+        F.sum("l"),
+    ).first()
+    cuts, n_all, n_pos = facts[0] or [], facts[1], facts[2] or 0
     counts = base.groupBy("_all", "s").agg(
         F.count(F.lit(1)).alias("n"), F.sum("l").alias("p")
-    ).withColumn("_cuts", cuts)
+    )
+    limits = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
     binned = counts.withColumn(
-        SLICE, -F.size(F.filter("_cuts", lambda c: c < F.col("s"))).cast("long")
-    ).drop("_cuts")
+        SLICE, -F.size(F.filter(limits, lambda c: c < F.col("s"))).cast("long")
+    )
     here = (
         Window.partitionBy("_all", SLICE)
         .orderBy(F.col("s").desc())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    totals = base.agg(
-        F.struct(F.count(F.lit(1)).alias("n"), F.sum("l").alias("p")).alias("t")
-    ).scalar()
     carried = attach_carry(
         binned,
         ["_all"],
@@ -273,15 +275,17 @@ def ranking_metrics(df: DataFrame, score: str = "score", label: str = "label", b
         "p",
         (F.sum("n").over(here) + F.coalesce("_n0", F.lit(0))).alias("cn"),
         (F.sum("p").over(here) + F.coalesce("_p0", F.lit(0))).alias("cp"),
-    ).withColumn("_t", totals)
-    k = F.col("_t.p")
-    taken = F.greatest(F.lit(0), F.least(F.col("n"), k - (F.col("cn") - F.col("n"))))
-    both = (F.max("_t.p") > 0) & (F.max("_t.p") < F.max("_t.n"))
+    )
+    # Positives of a tie that reaches over the k-th place count with their share.
+    taken = F.greatest(F.lit(0), F.least(F.col("n"), F.lit(n_pos) - (F.col("cn") - F.col("n"))))
+    both = F.lit(0 < n_pos < n_all)
     return ranked.agg(
-        F.max("_t.n").alias("n"),
-        F.max("_t.p").alias("n_positive"),
-        F.when(both, F.sum(F.col("p") * F.col("cp") / F.col("cn")) / F.max("_t.p")).alias("pr_auc"),
-        F.when(both, F.sum(F.col("p") * taken / F.col("n")) / F.max("_t.p")).alias("precision_at_k"),
+        F.lit(n_all).alias("n"),
+        F.lit(n_pos).alias("n_positive"),
+        F.when(both, F.sum(F.col("p") * F.col("cp") / F.col("cn")) / max(n_pos, 1)).alias("pr_auc"),
+        F.when(both, F.sum(F.col("p") * taken / F.col("n")) / max(n_pos, 1)).alias(
+            "precision_at_k"
+        ),
     )
 
 

@@ -31,19 +31,13 @@ def dense_grid(flights: DataFrame) -> DataFrame:
     Cells without operations are kept with zeros, the calendar columns included (only observed
     cells get a calendar). Size is airports x 96 x days, whatever the traffic.
     """
-    span = flights.agg(
-        F.struct(
-            (F.unix_date(F.min("flight_date")) * BUCKETS_PER_DAY).cast("long").alias("lo"),
-            ((F.unix_date(F.max("flight_date")) + 1) * BUCKETS_PER_DAY - 1)
-            .cast("long")
-            .alias("hi"),
-        ).alias("s")
-    ).scalar()
-    cells = (
-        airport_set(flights)
-        .withColumn("_span", span)
-        .select("airport", F.explode(F.sequence(F.col("_span.lo"), F.col("_span.hi"))).alias("bucket"))
+    lo, hi = flights.agg(
+        F.unix_date(F.min("flight_date")), F.unix_date(F.max("flight_date"))
+    ).first()
+    axis = F.sequence(
+        F.lit(lo * BUCKETS_PER_DAY).cast("long"), F.lit((hi + 1) * BUCKETS_PER_DAY - 1).cast("long")
     )
+    cells = airport_set(flights).select("airport", F.explode(axis).alias("bucket"))
     ops = merge_ops(departure_ops(flights), arrival_ops(flights)).withColumn("_seen", F.lit(True))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     calendar = calendar_cols(bucket_start("bucket"))

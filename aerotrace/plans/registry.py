@@ -16,12 +16,15 @@ ORACLE: dict[str, str] = {}
 
 
 def presentable(df: DataFrame) -> DataFrame:
-    """Doubles rounded to 6 places without a negative zero, timestamps without zone."""
+    """Doubles rounded to 6 places without a negative zero, timestamps without zone.
+
+    The tiny shift settles exact halves the same way in every engine.
+    """
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(c.cast("double") + F.lit(1e-9), 6) + F.lit(0.0)
         elif isinstance(f.dataType, T.TimestampType):
             c = c.cast("timestamp_ntz")
         cols.append(c.alias(f.name))

@@ -676,7 +676,7 @@ RIPPLE_DAY = (19724 + 4) * 96  # fourth day after 2024-01-02
     "j12_ripple",
     sql(
         f"""
-        , shut AS (SELECT airport AS a, {RIPPLE_DAY} + (closed_from // 15)::BIGINT AS b FROM fx_closures),
+        , shut AS (SELECT airport AS a, {RIPPLE_DAY} + floor(closed_from / 15)::BIGINT AS b FROM fx_closures),
         cut AS (SELECT a, b, sum(mean_arr_delay_min) / 8 AS x FROM shut
                 JOIN grid g ON g.airport = a AND g.bucket BETWEEN b - 6 AND b - 1 GROUP BY 1, 2),
         one AS (SELECT a, b, src AS airport, -w*x AS delta FROM cut JOIN flow ON dst = a),

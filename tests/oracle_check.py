@@ -29,6 +29,12 @@ def connect(sf_dir: str):
     return con
 
 
+SAME = {
+    "string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE",
+    "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def normal(df: pd.DataFrame) -> list[tuple]:
     df = df.reindex(sorted(df.columns), axis=1)
 
@@ -54,15 +60,20 @@ def kinds(df: pd.DataFrame) -> dict[str, str]:
 
 def compare(spark_df, con, sql: str) -> str:
     got = spark_df.toPandas()
-    want = con.execute(sql).df()
+    rel = con.sql(sql)
+    theirs = {c: str(t) for c, t in zip(rel.columns, rel.types, strict=True)}
+    ours = {f.name: SAME.get(f.dataType.simpleString(), "?") for f in spark_df.schema.fields}
+    odd = {c: (ours[c], theirs.get(c)) for c in ours if ours[c] != theirs.get(c)}
+    want = rel.df()
     if sorted(got.columns) != sorted(want.columns):
         return f"COLUMNS {sorted(got.columns)} vs {sorted(want.columns)}"
     a, b = normal(got), normal(want)
     if a == b:
-        return f"ok {len(a)} rows"
+        return f"ok {len(a)} rows" + (f" TYPES {odd}" if odd else "")
     # integers against doubles with equal value are told apart here on purpose
-    only_a = [x for x in a if x not in set(b)][:3]
-    only_b = [x for x in b if x not in set(a)][:3]
+    in_a, in_b = set(a), set(b)
+    only_a = [x for x in a if x not in in_b][:3]
+    only_b = [x for x in b if x not in in_a][:3]
     return (
         f"DIFFER {len(a)} vs {len(b)} rows; cols {sorted(got.columns)}\n"
         f"   spark only {only_a}\n   sql only   {only_b}\n   types {kinds(got)} vs {kinds(want)}"
