@@ -11,15 +11,15 @@ def _c(v) -> Column:
 
 
 def hash_uniforms(seed: int, *parts, count: int = 1) -> list[Column]:
-    """Up to four uniforms in [0, 1) from one digest of the seed and the parts.
+    """Up to six uniforms in [0, 1), in steps of 2^-20, from one digest of the seed and the parts.
 
     The value depends only on the inputs, never on partitioning or row order.
     """
-    if not 1 <= count <= 4:
-        raise ValueError("one digest gives at most 4 uniforms")
+    if not 1 <= count <= 6:
+        raise ValueError("one digest gives at most 6 uniforms")
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[_c(p).cast("string") for p in parts]))
     return [
-        F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+        F.conv(F.substring(digest, 1 + 5 * i, 5), 16, 10).cast("double") / F.lit(1048576.0)
         for i in range(count)
     ]
 

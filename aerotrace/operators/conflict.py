@@ -20,6 +20,8 @@ SEPARATION_M = 5.0 * 1852.0
 SEPARATION_FT = 1000.0
 SAMPLES = 200
 SEED = 20240101
+# Margin in metres or feet inside which the bounds leave a decision to the draws.
+SLACK = 1e-3
 
 AXES = ("east_m", "north_m", "alt_ft")
 QUANTILES = ("q10", "q50", "q90")
@@ -37,7 +39,8 @@ def conflict_probability(
     ``forecasts`` has one row per aircraft and horizon with the three quantiles of the offset on
     each axis (``q10_east_m`` ...). Pairs without forecasts on both sides are left out. The
     horizons are columns, so a pair fans out to its ``n`` draws only, and those are averaged
-    before anything is shuffled.
+    before anything is shuffled. Draws are bounded by their quantiles: pairs that must or cannot
+    conflict are settled by the bounds and need no draws.
     """
     fields = [f"{q}_{a}" for a in AXES for q in QUANTILES]
     wide = forecasts.groupBy(KEY).agg(
@@ -54,27 +57,57 @@ def conflict_probability(
         .join(side("b"), f"{KEY}_b")
         .withColumn("_e0", enu_east("lat_b", "lon_b", "lat_a", "lon_a"))
         .withColumn("_n0", enu_north("lat_b", "lon_b", "lat_a", "lon_a"))
-        .withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    )
+
+    def reach(h: int, axis: str) -> tuple[Column, Column]:
+        """Least and greatest difference a - b the bounded draws allow on one axis."""
+        a, b = ([F.col(f"h{h}_{s}")[f"{k}_{axis}"] for k in QUANTILES] for s in "ab")
+        return F.least(*a) - F.greatest(*b), F.greatest(*a) - F.least(*b)
+
+    def decided(h: int) -> tuple[Column, Column]:
+        """Whether horizon ``h`` is a conflict for every draw, and whether it can be for any."""
+        away, furthest = [], []
+        base = {
+            "east_m": -F.col("_e0"),
+            "north_m": -F.col("_n0"),
+            "alt_ft": F.col("alt_ft_a") - F.col("alt_ft_b"),
+        }
+        for axis in AXES:
+            lo, hi = (x + base[axis] for x in reach(h, axis))
+            away.append(F.greatest(lo, -hi, F.lit(0.0)))
+            furthest.append(F.greatest(F.abs(lo), F.abs(hi)))
+        flat = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1])
+        sure = (flat(furthest) < SEPARATION_M - SLACK) & (furthest[2] < SEPARATION_FT - SLACK)
+        never = (flat(away) >= SEPARATION_M + SLACK) | (away[2] >= SEPARATION_FT + SLACK)
+        no = F.lit(False)
+        return F.coalesce(sure, no), F.coalesce(~never, no)
+
+    for h in horizons:
+        sure, possible = decided(h)
+        placed = placed.withColumn(f"_sure{h}", sure).withColumn(f"_open{h}", possible)
+    any_of = lambda name: reduce(
+        lambda x, y: x | y, [F.col(f"{name}{h}") for h in horizons]
+    )
+    placed = placed.withColumn("_sure", any_of("_sure")).withColumn(
+        "_draw",
+        F.explode(
+            F.sequence(F.lit(1), F.when(any_of("_open") & ~any_of("_sure"), n).otherwise(1))
+        ),
     )
 
     def close(h: int) -> Column:
-        def offsets(s: str) -> list[Column]:
-            us = hash_uniforms(
-                seed, f"{KEY}_a", f"{KEY}_b", "_draw", F.lit(h), F.lit(s), count=3
-            )
+        us = hash_uniforms(seed, f"{KEY}_a", f"{KEY}_b", "_draw", F.lit(h), count=6)
+        draws = {}
+        for i, (s, axis) in enumerate((s, axis) for s in "ab" for axis in AXES):
             q = F.col(f"h{h}_{s}")
-            return [
-                triangular(u, *[q[f"{k}_{axis}"] for k in QUANTILES])
-                for u, axis in zip(us, AXES, strict=True)
-            ]
-
-        (ea, na, aa), (eb, nb, ab) = offsets("a"), offsets("b")
-        de, dn = ea - (F.col("_e0") + eb), na - (F.col("_n0") + nb)
-        dv = F.abs((F.col("alt_ft_a") + aa) - (F.col("alt_ft_b") + ab))
-        near = (F.sqrt(de * de + dn * dn) < SEPARATION_M) & (dv < SEPARATION_FT)
-        return F.coalesce(near, F.lit(False))
-
-    hit = reduce(lambda x, y: x | y, [close(h) for h in horizons])
+            draws[s, axis] = triangular(us[i], *[q[f"{k}_{axis}"] for k in QUANTILES])
+        de = draws["a", "east_m"] - F.col("_e0") - draws["b", "east_m"]
+        dn = draws["a", "north_m"] - F.col("_n0") - draws["b", "north_m"]
+        dv = F.col("alt_ft_a") + draws["a", "alt_ft"] - F.col("alt_ft_b") - draws["b", "alt_ft"]
+        near = (F.sqrt(de * de + dn * dn) < SEPARATION_M) & (F.abs(dv) < SEPARATION_FT)
+        return F.col(f"_open{h}") & F.coalesce(near, F.lit(False))
+
+    hit = reduce(lambda x, y: x | y, [close(h) for h in horizons], F.col("_sure"))
     return placed.groupBy(f"{KEY}_a", f"{KEY}_b").agg(
         F.avg(hit.cast("double")).alias("probability")
     )
@@ -101,6 +134,7 @@ def conflicts(
     min_prob: float = 0.1,
     n: int = SAMPLES,
     seed: int = SEED,
+    horizons: tuple[int, ...] = HORIZONS_S,
 ) -> DataFrame:
     """Pairs in the box with at least ``min_prob``; only involved aircraft are forecast."""
     pairs = candidate_pairs(snapshot(df, bbox, as_of))
@@ -110,5 +144,5 @@ def conflicts(
         .distinct()
     )
     known = df.where(F.col("ts") <= F.lit(as_of).cast("timestamp")).join(involved, KEY, "left_semi")
-    scored = conflict_probability(pairs, forecasts_for(known, model), n, seed)
+    scored = conflict_probability(pairs, forecasts_for(known, model, horizons), n, seed, horizons)
     return scored.where(F.col("probability") >= min_prob)

@@ -280,8 +280,8 @@ def ranking_metrics(df: DataFrame, score: str = "score", label: str = "label", b
     taken = F.greatest(F.lit(0), F.least(F.col("n"), F.lit(n_pos) - (F.col("cn") - F.col("n"))))
     both = F.lit(0 < n_pos < n_all)
     return ranked.agg(
-        F.lit(n_all).alias("n"),
-        F.lit(n_pos).alias("n_positive"),
+        F.lit(n_all).cast("long").alias("n"),
+        F.lit(n_pos).cast("long").alias("n_positive"),
         F.when(both, F.sum(F.col("p") * F.col("cp") / F.col("cn")) / max(n_pos, 1)).alias("pr_auc"),
         F.when(both, F.sum(F.col("p") * taken / F.col("n")) / max(n_pos, 1)).alias(
             "precision_at_k"

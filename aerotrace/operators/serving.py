@@ -78,7 +78,7 @@ def tracks(df: DataFrame, t0, t1, limit: int = TRACK_LIMIT) -> DataFrame:
     than ``limit`` rows per task.
     """
     order = Window.partitionBy(KEY).orderBy("ts")
-    ranked = _between(df, t0, t1).select(*POSITION, F.row_number().over(order).alias("pos"))
+    ranked = _between(df, t0, t1).select(*POSITION, F.row_number().over(order).cast("long").alias("pos"))
     return ranked.where(F.col("pos") <= limit)
 
 

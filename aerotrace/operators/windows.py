@@ -313,7 +313,7 @@ def resample(
         pairs.withColumn("_lo", first)
         .withColumn("_hi", upto)
         .where("_lo <= _hi")
-        .withColumn("k", F.explode(F.sequence("_lo", "_hi")).cast("int"))
+        .withColumn("k", F.explode(F.sequence(F.col("_lo").cast("int"), F.col("_hi").cast("int"))))
     )
     at = F.least(F.col("t1").cast("double"), F.col("t0") + F.col("k") * step)
     part = (at - F.col("_ms")) / (F.col("_next._ms") - F.col("_ms"))

@@ -7,6 +7,7 @@ from aerotrace.plans import (  # noqa: F401 - importing registers the queries
     schedule_queries,
     serving_queries,
     track_queries,
+    trajectory_queries,
 )
 from aerotrace.plans.registry import ORACLE, QUERIES
 

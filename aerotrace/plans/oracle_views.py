@@ -10,7 +10,7 @@ EARTH = "6371008.8"
 
 def rnd(expr: str, name: str) -> str:
     """A double rounded for comparison; the shift settles exact halves the same way everywhere."""
-    return f"round({expr} + 1e-9, 6) + 0.0 AS {name}"
+    return f"round({expr} + 1.3e-9, 6) + 0.0 AS {name}"
 
 
 def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:

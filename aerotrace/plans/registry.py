@@ -24,7 +24,7 @@ def presentable(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double") + F.lit(1e-9), 6) + F.lit(0.0)
+            c = F.round(c.cast("double") + F.lit(1.3e-9), 6) + F.lit(0.0)
         elif isinstance(f.dataType, T.TimestampType):
             c = c.cast("timestamp_ntz")
         cols.append(c.alias(f.name))

@@ -684,7 +684,7 @@ RIPPLE_DAY = (19724 + 4) * 96  # fourth day after 2024-01-02
         top AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS rank
                 FROM flow WHERE src <> dst)
         SELECT a AS closed_airport, b AS closed_bucket, airport AS neighbor, rank, hop,
-               round(delta, 6) + 0.0 AS delta
+               {rnd('delta', 'delta')}
         FROM (SELECT *, 1 AS hop FROM one UNION ALL SELECT *, 2 FROM two)
         JOIN top ON src = a AND dst = airport WHERE rank <= 5
         """,
