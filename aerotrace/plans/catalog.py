@@ -6,6 +6,7 @@ from aerotrace.plans import (  # noqa: F401 - importing registers the queries
     ingest_queries,
     schedule_queries,
     serving_queries,
+    streaming_queries,
     track_queries,
     trajectory_queries,
 )
