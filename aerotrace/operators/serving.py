@@ -128,7 +128,7 @@ def top_neighbors(edges: DataFrame, n: int = 5) -> DataFrame:
     """Strongest flow neighbours of each airport, itself left out."""
     order = Window.partitionBy("src").orderBy(F.col("w").desc(), "dst")
     ranked = edges.where((F.col("src") != F.col("dst")) & (F.col("w") > 0)).withColumn(
-        "rank", F.row_number().over(order)
+        "rank", F.row_number().over(order).cast("long")
     )
     return ranked.where(F.col("rank") <= n)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from aerotrace.plans import (  # noqa: F401 - importing registers the queries
     ingest_queries,
+    learning_queries,
     schedule_queries,
     serving_queries,
     streaming_queries,

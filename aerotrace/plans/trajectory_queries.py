@@ -614,3 +614,21 @@ def i3(spark, sf):
 def i4(spark, sf):
     reports, model = conflict_inputs(spark, sf)
     return conflict.conflicts(reports, BOX, AS_OF, model, horizons=HORIZONS)
+
+
+def near_sql() -> str:
+    """Error of every forecast against each report within the tolerance of its due time."""
+    e = east("t.lat", "t.lon", "a.lat", "a.lon")
+    n = north("t.lat", "t.lon", "a.lat", "a.lon")
+    error = f"sqrt(pow(pred_east_m - {e}, 2) + pow(pred_north_m - {n}, 2)) / 1000"
+    return sql(
+        f"""
+        SELECT c.icao24, c.anchor_ts AS issued_at, horizon_s, t.ts AS truth_ts,
+               {rnd(error, 'error_km')}
+        FROM cv c JOIN num a ON a.icao24 = c.icao24 AND a.i = c.i
+        JOIN num t ON t.icao24 = c.icao24
+         AND abs(epoch_ms(t.ts) - epoch_ms(a.ts) - horizon_s*1000) <= 3000
+        """,
+        "cv",
+        "num",
+    )
