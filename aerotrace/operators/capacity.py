@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerotrace.functions.clock import flight_key, hhmm_minutes
-from aerotrace.operators.slicing import row_number_sliced
+from aerotrace.operators.slicing import HOT_ROWS, row_number_sliced
 
 # Service time, "affected" threshold, saturation threshold (minutes).
 SERVICE_MIN = 1.5
@@ -43,7 +43,10 @@ def runway_demand(flights: DataFrame) -> DataFrame:
 
 
 def queue_waits(
-    demand: DataFrame, closures: DataFrame | None = None, service: float = SERVICE_MIN
+    demand: DataFrame,
+    closures: DataFrame | None = None,
+    service: float = SERVICE_MIN,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Per flight: baseline wait and, with ``closures``, the wait with one closure per airport.
 
@@ -84,14 +87,15 @@ def queue_waits(
         minutes = minutes.withColumn("_moved", F.lit(None).cast("long")).withColumn(
             "_lead2", F.lit(None).cast("double")
         )
-    # Place within the minute, by id. The carrier part of the id cuts a crowded minute; string
-    # order of (prefix, id) is the order of the id.
+    # Place within the minute, by id. A prefix of the id cuts a crowded minute; string order of
+    # (prefix, id) is the order of the id.
     placed = row_number_sliced(
         demand.withColumn("_prefix", F.substring("flight_id", 1, 4)),
         [*DAY, "scheduled_minute"],
         ["flight_id"],
         "_rank",
         slice_col="_prefix",
+        hot_rows=hot_rows,
     ).drop("_prefix")
     n = F.col("_c") + F.col("_rank") - 1
     a = F.col("scheduled_minute")

@@ -45,6 +45,16 @@ def attach_carry(
     return rows.join(summary.select(*keys, slice_col, *carries(earlier)), [*keys, slice_col])
 
 
+# A key with more rows than this is cut into slices where slices are otherwise too small to pay.
+HOT_ROWS = 500_000
+
+
+def has_hot_key(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> bool:
+    """Whether any key has more than ``limit`` rows: one narrow count, combined before the shuffle."""
+    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) > limit
+
+
 def lag_sliced(
     rows: DataFrame,
     keys: list[str],
@@ -52,8 +62,16 @@ def lag_sliced(
     fields: list[str],
     out: str = "prev",
     slice_col: str = SLICE,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """``out`` = struct of ``fields`` of the previous row of the key, across slices."""
+    """``out`` = struct of ``fields`` of the previous row of the key, across slices.
+
+    With ``hot_rows`` the slices are used only if some key has more rows than that; else one
+    window per key does.
+    """
+    if hot_rows is not None and not has_hot_key(rows, keys, hot_rows):
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return rows.withColumn(out, F.lag(F.struct(*fields)).over(whole))
     here = Window.partitionBy(*keys, slice_col).orderBy(*order)
     carried = attach_carry(
         rows,
@@ -73,8 +91,15 @@ def row_number_sliced(
     order: list[Column | str],
     out: str,
     slice_col: str = SLICE,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """1-based position of each row within its key; slices must be ordered like ``order``."""
+    """1-based position of each row within its key; slices must be ordered like ``order``.
+
+    ``hot_rows`` as in ``lag_sliced``.
+    """
+    if hot_rows is not None and not has_hot_key(rows, keys, hot_rows):
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return rows.withColumn(out, F.row_number().over(whole).cast("long"))
     here = Window.partitionBy(*keys, slice_col).orderBy(*order)
     carried = attach_carry(
         rows,

@@ -6,7 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerotrace.functions.clock import PHASES, WAKE_CATEGORIES, one_hot
-from aerotrace.functions.geo import bearing_deg, bearing_delta, enu_east, enu_north, haversine_m
+from aerotrace.functions.geo import (
+    EARTH_RADIUS_M,
+    bearing_deg,
+    bearing_delta,
+    enu_east,
+    enu_north,
+    haversine_m,
+)
 from aerotrace.operators.slicing import HOME, SLICE, with_halo
 from aerotrace.operators.tracks import (
     APPROACH_ALT_FT,
@@ -143,16 +150,16 @@ def window_features(w: DataFrame) -> DataFrame:
     Offsets east/north are cumulative; altitude change, rates and turn are per step and 0 where
     an input is missing. Windows whose times do not strictly increase are left out.
     """
-    p0 = F.col("points")[0]
+    # The anchor is worked out once per window; inside the array only differences are taken.
+    w = w.withColumn("_p0", F.col("points")[0]).withColumn(
+        "_cos0", F.cos(F.radians(F.col("_p0.lat")))
+    )
+    east = lambda p: F.radians(p["lon"] - F.col("_p0.lon")) * EARTH_RADIUS_M * F.col("_cos0")
+    north = lambda p: F.radians(p["lat"] - F.col("_p0.lat")) * EARTH_RADIUS_M
 
-    def step(i: Column) -> Column:
-        cur, prev = F.col("points")[i], F.col("points")[i - 1]
+    def step(cur: Column, prev: Column) -> Column:
         dt_s = F.nullif(seconds_between(cur["ts"], prev["ts"]), F.lit(0.0))
-        at = lambda p: (
-            enu_east(p["lat"], p["lon"], p0["lat"], p0["lon"]),
-            enu_north(p["lat"], p["lon"], p0["lat"], p0["lon"]),
-        )
-        (e, n), (pe, pn) = at(cur), at(prev)
+        e, n, pe, pn = east(cur), north(cur), east(prev), north(prev)
         rise = cur["baro_alt_ft"] - prev["baro_alt_ft"]
         turn = bearing_delta(prev["heading_deg"], cur["heading_deg"])
         zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -167,8 +174,8 @@ def window_features(w: DataFrame) -> DataFrame:
         )
 
     last = F.size("points") - 1
-    stepped = w.withColumn("steps", F.transform(F.sequence(F.lit(1), last), step))
-    return stepped.where(F.forall("steps", lambda s: F.coalesce(s["dt_s"] > 0, F.lit(False))))
+    pairs = F.zip_with(F.slice("points", F.lit(2), last), F.slice("points", F.lit(1), last), step)
+    return w.withColumn("steps", pairs).drop("_p0", "_cos0").where(F.forall("steps", lambda s: F.coalesce(s["dt_s"] > 0, F.lit(False))))
 
 
 def dest_context(w: DataFrame, lat: str, lon: str) -> DataFrame:
