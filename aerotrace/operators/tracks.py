@@ -315,46 +315,57 @@ def pair_legs(states: DataFrame) -> DataFrame:
     )
 
 
+def leg_edges(states: DataFrame) -> DataFrame:
+    """Takeoffs and the landings that close a leg, each with the leg's departure, in one pass."""
+    duration = seconds_between(F.col("ts"), F.col("open_edge.ts"))
+    closes = (
+        F.col("landed")
+        & (F.col("open_edge.kind") == "takeoff")
+        & duration.between(MIN_LEG_S, MAX_LEG_S)
+    )
+    return states.where(F.col("took_off") | F.coalesce(closes, F.lit(False))).select(
+        KEY,
+        "ts",
+        "lat",
+        "lon",
+        F.when(F.col("took_off"), "takeoff").otherwise("landing").alias("type"),
+        F.when(F.col("took_off"), F.col("ts")).otherwise(F.col("open_edge.ts")).alias("dep_ts"),
+    )
+
+
 def flight_rows(states: DataFrame, airports: DataFrame) -> DataFrame:
     """The flights table: one row per takeoff, completed by its landing.
 
-    A leg whose landing was rejected stays ``airborne``.
+    A leg whose landing was rejected stays ``airborne``. Both ends of a leg carry its departure,
+    so they meet in one aggregate and the states are computed once.
     """
-    takeoffs = nearest_airport(
-        states.where("took_off").select(KEY, F.col("ts").alias("dep_ts"), "lat", "lon"), airports
-    ).select(KEY, "dep_ts", F.col("airport").alias("origin_icao"))
-    closed = nearest_airport(
-        pair_legs(states)
-        .where("outcome = 'closed'")
-        .select(KEY, "dep_ts", "arr_ts", F.col("arr_lat").alias("lat"), F.col("arr_lon").alias("lon")),
-        airports,
-    ).select(KEY, "dep_ts", "arr_ts", F.col("airport").alias("dest_icao"))
-    return takeoffs.join(closed, [KEY, "dep_ts"], "left").select(
+    up, down = F.col("type") == "takeoff", F.col("type") == "landing"
+    ends = nearest_airport(leg_edges(states), airports)
+    legs = ends.groupBy(KEY, "dep_ts").agg(
+        F.max(F.when(up, F.col("airport"))).alias("origin_icao"),
+        F.max(F.when(down, F.col("airport"))).alias("dest_icao"),
+        F.max(F.when(down, F.col("ts"))).alias("actual_arr"),
+    )
+    return legs.select(
         leg_id(KEY, "dep_ts").alias("flight_id"),
         KEY,
         "origin_icao",
         "dest_icao",
         F.col("dep_ts").alias("actual_dep"),
-        F.col("arr_ts").alias("actual_arr"),
-        F.when(F.col("arr_ts").isNotNull(), "landed").otherwise("airborne").alias("status"),
+        "actual_arr",
+        F.when(F.col("actual_arr").isNotNull(), "landed").otherwise("airborne").alias("status"),
     )
 
 
 def leg_events(states: DataFrame) -> DataFrame:
     """Event feed: a takeoff per opened leg, a landing per closed leg, with a JSON payload."""
-    event = lambda kind, dep: F.struct(
-        F.lit(kind).alias("type"), leg_id(KEY, dep).alias("flight_id"), F.col(KEY)
-    )
-    ups = states.where("took_off").select(KEY, "ts", event("takeoff", "ts").alias("e"))
-    downs = pair_legs(states).where("outcome = 'closed'").select(
-        KEY, F.col("arr_ts").alias("ts"), event("landing", "dep_ts").alias("e")
-    )
-    return ups.unionByName(downs).select(
-        F.col("e.flight_id").alias("key"),
+    flight_id = leg_id(KEY, "dep_ts")
+    return leg_edges(states).select(
+        flight_id.alias("key"),
         KEY,
         "ts",
-        F.col("e.type").alias("type"),
-        F.to_json("e").alias("value"),
+        "type",
+        F.to_json(F.struct("type", flight_id.alias("flight_id"), KEY)).alias("value"),
     )
 
 
