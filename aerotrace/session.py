@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,13 +18,31 @@ RUNTIME_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings the operators rely on: UTC clock and adaptive execution."""
+    """Pin the runtime settings the operators rely on, and send the package to the executors."""
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a session, as a file that Spark hands out.
+
+    Functions that run in Python workers import the package; without this they start only
+    where the workers happen to find it on their own path.
+    """
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_aerotrace_shipped", False) or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="ship-")) / "aerotrace.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._aerotrace_shipped = True
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A local session for tests and the bench."""
     builder = (
@@ -47,7 +67,7 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         "spark.checkpoint.dir"
     )
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="run-")
     return f"{base.rstrip('/')}/aerotrace-{label}-{uuid.uuid4().hex}"
