@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerotrace.llm import feed_mix, placement
+from aerotrace.llm import feed_mix, near_trajectories, placement, trajectory_search
 from aerotrace.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_near_trajectories")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("flight_id"), "embedding")
+    return near_trajectories.near_trajectories(spark, rows).withColumnRenamed("flight_id", "vec_id")
+
+
 @query(
     "op6_feed_mix",
     r"""
@@ -84,6 +90,33 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op8_trajectory_search",
+    """
+    WITH v AS (
+      SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    p AS (
+      SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+      WHERE q.vec_id % 50 = 0),
+    r AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+      FROM p)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("flight_id"), "embedding")
+    asked = rows.where(F.col("flight_id") % 50 == 0)
+    return trajectory_search.top_trajectories(spark, rows, asked, k=5, scale=256.0).withColumnRenamed(
+        "flight_id", "vec_id"
+    )
+
+
 @query("op9_flight_placement")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
