@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerotrace.llm import feed_mix, near_trajectories, placement, trajectory_search
-from aerotrace.session import configure
+from aerotrace.llm import (
+    feed_mix,
+    near_trajectories,
+    pieces,
+    placement,
+    snapshot_warc,
+    token_store,
+    trajectory_search,
+)
+from aerotrace.session import configure, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +48,36 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_trajectories.near_trajectories(spark, rows).withColumnRenamed("flight_id", "vec_id")
 
 
+@query("op3_token_store")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    evidence = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("evidence"))
+    folder = scratch_dir(spark, "tokens")
+    parts = token_store.write_tokens(
+        spark, evidence, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2
+    )
+    return token_store.read_tokens(spark, parts, folder, docs.schema["doc_id"].dataType).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query("op5_pieces")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    evidence = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("evidence"))
+    coded = pieces.encode_pieces(spark, evidence, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(F.col("id").alias("doc_id"), *piece_digests())
+
+
+def piece_digests() -> list:
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return [
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    ]
+
+
 @query(
     "op6_feed_mix",
     r"""
@@ -90,6 +129,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_snapshot_warc")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    snapshots = pages.select(
+        F.col("page_id").alias("snapshot_id"), F.col("url").alias("blob_uri"), F.col("html").alias("payload")
+    )
+    folder = scratch_dir(spark, "warc")
+    whole = snapshot_warc.write_archives(spark, snapshots, folder, revisit_bytes=0)
+    members = snapshot_warc.normalise_archives(spark, whole, folder)
+    return snapshot_warc.read_archives(spark, members, pages.schema["page_id"].dataType).select(
+        F.col("snapshot_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query(
     "op8_trajectory_search",
     """
