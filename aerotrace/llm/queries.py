@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerotrace.llm import (
+    evidence_quality,
     feed_mix,
     near_trajectories,
     pieces,
     placement,
+    shingle_join,
     snapshot_warc,
     token_store,
     trajectory_search,
@@ -48,6 +50,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_trajectories.near_trajectories(spark, rows).withColumnRenamed("flight_id", "vec_id")
 
 
+@query("op2_evidence_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return evidence_quality.classify_evidence(
+        spark,
+        docs.select(F.col("doc_id").alias("id"), F.col("text").alias("evidence")),
+        labels.select(F.col("doc_id").alias("id"), "quality"),
+        threshold=0.3,
+    ).withColumnRenamed("id", "doc_id")
+
+
 @query("op3_token_store")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -61,6 +74,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_shingle_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    anomalies = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("evidence"))
+    return shingle_join.near_duplicate_evidence(spark, anomalies).withColumnRenamed("id", "doc_id")
+
+
 @query("op5_pieces")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
