@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
 # Entries kept per worker; a full table is emptied, which costs time but changes no result.
-LIMIT = 400_000
-BLOCK_CHARS = 1 << 16
+LIMIT = 500_000
+BLOCK_WORDS = 4_096
 _BY_MODEL: dict[tuple[str, int], object] = {}
 
 
@@ -24,8 +24,8 @@ def for_worker(kind: type, model: bytes):
 class ByteBpe:
     """Ids of the ``tokenizers`` library for a byte-level BPE file, without special tokens added.
 
-    A text is cut before every single space. Such a cut lies between two pre-tokens if the space
-    stands between characters that are no white space, so the parts can be encoded one by one.
+    A text is cut before every space and line break. Such a cut lies between two pre-tokens if
+    it stands between characters that are no white space, so the parts can be encoded one by one.
     Words for which that is not certain (next to more white space, or with the text of a special
     token) have no entry, and a text with one of them is encoded whole.
     """
@@ -33,13 +33,15 @@ class ByteBpe:
     def __init__(self, model: bytes) -> None:
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_str(model.decode())
         vocab = json.loads(model)
         self.special = [t["content"] for t in vocab["added_tokens"]]
-        size = max(max(vocab["model"]["vocab"].values()) + 1, self.model.get_vocab_size())
-        self.length = np.zeros(size, dtype=np.int64)  # bytes of each id; one letter stands for one byte
-        for piece, i in vocab["model"]["vocab"].items():
-            self.length[i] = len(piece)
+        lengths = {i: len(piece) for piece, i in vocab["model"]["vocab"].items()}  # a letter stands for a byte
+        del vocab
+        self.model = Tokenizer.from_str(model.decode())
+        self.model.model._resize_cache(0)  # the tables below are the cache
+        size = max(max(lengths) + 1, self.model.get_vocab_size())
+        self.length = np.zeros(size, dtype=np.int64)
+        self.length[list(lengths)] = list(lengths.values())
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.first: dict[str, bytes | None] = {}
         self.rest: dict[str, bytes | None] = {}
@@ -48,57 +50,64 @@ class ByteBpe:
         done = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in done]
 
-    def _plain(self, word: str) -> bool:
-        return bool(word) and not word[0].isspace() and not word[-1].isspace() and not any(
-            s in word for s in self.special
-        )
-
-    def _learn(self, words: Iterable[str]) -> None:
-        """Many words are encoded as one text; their ids are told apart by their bytes."""
-        plain = []
+    def _learn(self, words: list[str]) -> None:
+        """Entries of words. Many are encoded as one text; their ids are told apart by their bytes."""
+        table, plain = self.rest, []
         for w in words:
-            if self._plain(w):
+            core = w[1:] if w[:1] == "\n" else w
+            if core and core.strip() == core:
                 plain.append(w)
             else:
-                self.rest[w] = None
-        at = 0
-        while at < len(plain):
-            end, chars = at, 0
-            while end < len(plain) and chars < BLOCK_CHARS:
-                chars += len(plain[end]) + 1
-                end += 1
-            block, at = plain[at:end], end
+                table[w] = None
+        for at in range(0, len(plain), BLOCK_WORDS):
+            block = plain[at : at + BLOCK_WORDS]
+            text = "".join([w if w[0] == "\n" else " " + w for w in block])
+            if any(s in text for s in self.special):
+                table.update((w, None) for w in block if any(s in w for s in self.special))
+                block = [w for w in block if w not in table]
+                text = "".join([w if w[0] == "\n" else " " + w for w in block])
             ids = np.array(
-                self.model.encode_batch_fast([" " + " ".join(block)], add_special_tokens=False)[0].ids, dtype=self.kind
+                self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind
             )
-            ends = np.cumsum([1 + len(w.encode()) for w in block])
+            sizes = [len(w) for w in block] if text.isascii() else [len(w.encode()) for w in block]
+            ends = np.cumsum([n if w[0] == "\n" else n + 1 for n, w in zip(sizes, block, strict=True)])
             upto = np.cumsum(self.length[ids])
             cuts = np.searchsorted(upto, ends) + 1
-            if len(ids) and (cuts <= len(ids)).all() and (upto[cuts - 1] == ends).all():
-                raw, step = ids.tobytes(), self.kind.itemsize
-                start = 0
-                for w, cut in zip(block, cuts.tolist(), strict=True):
-                    self.rest[w] = raw[start * step : cut * step]
-                    start = cut
-            else:
-                self.rest.update(zip(block, self._whole([" " + w for w in block]), strict=True))
+            if not (cuts <= len(ids)).all() or not (upto[np.minimum(cuts, len(ids)) - 1] == ends).all():
+                table.update((w, None) for w in block)  # the words of such a text are encoded with it
+                continue
+            raw, marks = ids.tobytes(), (cuts * self.kind.itemsize).tolist()
+            table.update(zip(block, (raw[i:j] for i, j in zip([0, *marks], marks, strict=False)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian integers of ``kind``."""
         if len(self.rest) > LIMIT:
             self.rest.clear()
             self.first.clear()
-        split = [t.split(" ") for t in texts]
-        new = set().union(*[w[1:] for w in split]) - self.rest.keys() if split else ()
-        self._learn(new)
-        heads = [w[0] for w in split if w[0] not in self.first]
-        plain = list({h for h in heads if self._plain(h)})
+        table = self.rest
+        split = [t.replace("\n", " \n").split(" ") for t in texts]
+        heads = list({w[0] for w in split} - self.first.keys())
+        sure = [h for h in heads if h.strip() == h and not any(s in h for s in self.special)]
         self.first.update((h, None) for h in heads)
-        self.first.update(zip(plain, self._whole(plain), strict=True))
-        out, table = [], self.rest
-        for text, words in zip(texts, split, strict=True):
+        self.first.update(zip(sure, self._whole(sure), strict=True))
+        words = list(chain.from_iterable(split))
+        ids = list(map(table.get, words))
+        at, starts = 0, []
+        for head in split:
+            starts.append(at)
+            ids[at] = self.first[head[0]]
+            at += len(head)
+        heads = set(starts)
+        missing = [i for i, v in enumerate(ids) if v is None and i not in heads]
+        new = {words[i] for i in missing} - table.keys()
+        if new:
+            self._learn(list(new))
+        for i in missing:
+            ids[i] = table[words[i]]
+        out = []
+        for text, start, end in zip(texts, starts, [*starts[1:], at], strict=True):
             try:
-                out.append(self.first[words[0]] + b"".join([table[w] for w in words[1:]]))
+                out.append(b"".join(ids[start:end]))
             except TypeError:
                 out.append(self._whole([text])[0])
         return out
