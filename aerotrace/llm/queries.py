@@ -27,10 +27,16 @@ ORACLE: dict[str, str] = {}
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Batches of few rows: whole texts and pages can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    return configure(spark)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir)
+            return fn(ready(spark), sf_dir)
 
         QUERIES[name] = run
         if sql is not None:
