@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from aerotrace.llm import (
     evidence_quality,
     feed_mix,
+    licences,
     near_trajectories,
     pieces,
     placement,
@@ -204,3 +205,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("flight_id").alias("doc_id"), "size", F.col("payload_crc32").alias("text_crc32"),
         "law", "shard", "slot", "grown_shard",
     )
+
+
+@query("op10_licences")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
