@@ -200,3 +200,19 @@ def classify_evidence(
     rows = anomalies.select("id", held_out("id").alias("held_out"), "evidence")
     scored = with_score(spark, rows, "evidence", model, "score")
     return scored.select("id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(
+    spark: SparkSession, rows: DataFrame, key: str, text: str, labels: DataFrame, threshold: float = THRESHOLD
+) -> DataFrame:
+    """The rows whose text scores ``threshold`` or more, with all their columns.
+
+    ``rows`` has an id and a text column, ``labels`` as for ``classify_evidence``. The rows are
+    scored where they are read, so nothing is joined or shuffled.
+    """
+    evidence = rows.select(F.col(key).alias("id"), F.col(text).alias("evidence"))
+    model = train_votes(spark, evidence, labels)
+    out = "_score"
+    while out in rows.columns:
+        out = f"_{out}"
+    return with_score(spark, rows, text, model, out).where(F.col(out) >= threshold).drop(out)

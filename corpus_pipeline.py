@@ -1,10 +1,85 @@
-"""Corpus pipeline over the documents table."""
+"""Corpus pipeline: quality, near duplicates, mix of sources, pieces.
+
+``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and returns a
+DataFrame, which is written as Parquet and read again as the ``docs`` of the next one. All but the
+last return the columns of ``docs``. ``run`` applies them to the documents table.
+
+Rows may have null ids, null texts and repeated ids: stages tell rows apart by id and text, and
+rows that agree in both are one document for the near-duplicate stage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from aerotrace.llm import evidence_quality, feed_mix, pieces, shingle_join
+from aerotrace.llm.queries import WORD, piece_digests, ready
+from aerotrace.session import stored
+
+KEY = "_row_key"
+
+
+def _key() -> Column:
+    """Id and text of a row as one string that sorts by id."""
+    return F.concat_ws(
+        "-", F.lpad(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 20, "0"), F.hex(F.xxhash64("doc_id", "text"))
+    )
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the neighbour votes do not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), "quality")
+    return evidence_quality.keep_good(ready(spark), docs, "doc_id", "text", labels, threshold=0.3)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, the one with the smallest id."""
+    rows = docs.withColumn(KEY, _key())
+    classes = shingle_join.near_duplicate_evidence(
+        ready(spark), rows.select(F.col(KEY).alias("id"), F.col("text").alias("evidence"))
+    )
+    kept = classes.where(F.col("id") == F.col("component_id")).select(F.col("id").alias(KEY)).distinct()
+    # repeated rows of a key lie together after the join
+    first = F.row_number().over(Window.partitionBy(KEY).orderBy(F.lit(0)))
+    return rows.join(kept, KEY, "left_semi").withColumn("_n", first).where("_n = 1").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; a document cut in the middle counts from half on."""
+    rows = docs.withColumn(KEY, _key())
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    taken = feed_mix.mix_feeds(
+        ready(spark), rows.select(F.col(KEY).alias("flight_id"), "source", size.alias("n_reports"))
+    )
+    times = F.when(F.col("n_reports") > 0, F.floor(F.col("taken") / F.col("n_reports") + F.lit(0.5))).otherwise(F.lit(0))
+    times = taken.groupBy(F.col("flight_id").alias(KEY)).agg(F.max(times).cast("int").alias("_times"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("_times")))
+    return rows.join(times.where("_times > 0"), KEY).withColumn("_copy", copies).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, their number, and digests of ids and decoded text."""
+    coded = pieces.encode_pieces(
+        ready(spark), docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), text="text"
+    )
+    return coded.select("doc_id", "ids", *piece_digests())
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("mix", mix),
+    ("encode", encode),
+]
+
+# The votes, the hashes and the pieces are not expressible in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(spark, stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
