@@ -11,21 +11,20 @@ rows that agree in both are one document for the near-duplicate stage.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerotrace.llm import evidence_quality, feed_mix, pieces, shingle_join
 from aerotrace.llm.queries import WORD, piece_digests, ready
 from aerotrace.session import stored
 
-KEY = "_row_key"
 
-
-def _key() -> Column:
-    """Id and text of a row as one string that sorts by id."""
-    return F.concat_ws(
-        "-", F.lpad(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 20, "0"), F.hex(F.xxhash64("doc_id", "text"))
-    )
+def _packed(docs: DataFrame) -> DataFrame:
+    """``key, doc``: the row as one struct, so that no column name can clash, and its id and text
+    as one string that sorts by id, null last."""
+    number = F.coalesce(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("~"))
+    key = F.concat_ws("-", number, F.hex(F.xxhash64("doc_id", "text")))
+    return docs.select(key.alias("key"), F.struct("*").alias("doc"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,27 +35,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, the one with the smallest id."""
-    rows = docs.withColumn(KEY, _key())
+    rows = _packed(docs)
     classes = shingle_join.near_duplicate_evidence(
-        ready(spark), rows.select(F.col(KEY).alias("id"), F.col("text").alias("evidence"))
+        ready(spark), rows.select(F.col("key").alias("id"), F.col("doc.text").alias("evidence"))
     )
-    kept = classes.where(F.col("id") == F.col("component_id")).select(F.col("id").alias(KEY)).distinct()
+    kept = classes.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("key")).distinct()
     # repeated rows of a key lie together after the join
-    first = F.row_number().over(Window.partitionBy(KEY).orderBy(F.lit(0)))
-    return rows.join(kept, KEY, "left_semi").withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    return rows.join(kept, "key", "left_semi").withColumn("n", first).where("n = 1").select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; a document cut in the middle counts from half on."""
-    rows = docs.withColumn(KEY, _key())
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = _packed(docs)
+    size = F.coalesce(F.regexp_count("doc.text", F.lit(WORD)), F.lit(0)).cast("long")
     taken = feed_mix.mix_feeds(
-        ready(spark), rows.select(F.col(KEY).alias("flight_id"), "source", size.alias("n_reports"))
+        ready(spark), rows.select(F.col("key").alias("flight_id"), F.col("doc.source").alias("source"), size.alias("n_reports"))
     )
     times = F.when(F.col("n_reports") > 0, F.floor(F.col("taken") / F.col("n_reports") + F.lit(0.5))).otherwise(F.lit(0))
-    times = taken.groupBy(F.col("flight_id").alias(KEY)).agg(F.max(times).cast("int").alias("_times"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return rows.join(times.where("_times > 0"), KEY).withColumn("_copy", copies).select(*docs.columns)
+    times = taken.groupBy(F.col("flight_id").alias("key")).agg(F.max(times).cast("int").alias("times")).where("times > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.col("times")))
+    return rows.join(times, "key").select("doc", copies.alias("copy")).select("doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
