@@ -102,13 +102,29 @@ def cell_id(lat, lon, size_deg: float) -> Column:
     )
 
 
-def explode_ring(df: DataFrame, k: int, row: str, col: str, out: tuple[str, str]) -> DataFrame:
-    """One output row per cell within ``k`` rings of the row's own cell (a (2k+1)^2 fan-out)."""
+def cell_column(lon, size_deg: float) -> Column:
+    """Grid column of a longitude, counted round the globe from 0.
+
+    The cells must divide the circle, so that the column after the last one is the first.
+    """
+    columns = round(360.0 / size_deg)
+    if abs(columns * size_deg - 360.0) > 1e-6:
+        raise ValueError("cells must divide 360 degrees")
+    return F.pmod(cell_index(lon, size_deg), F.lit(columns))
+
+
+def explode_ring(
+    df: DataFrame, k: int, row: str, col: str, out: tuple[str, str], size_deg: float
+) -> DataFrame:
+    """One output row per cell within ``k`` rings of the row's own cell (a (2k+1)^2 fan-out).
+
+    Columns go round the globe: next to the last one is column 0.
+    """
     steps = F.sequence(F.lit(-k), F.lit(k))
     return (
         df.withColumn("_dr", F.explode(steps))
         .withColumn("_dc", F.explode(steps))
         .withColumn(out[0], F.col(row) + F.col("_dr"))
-        .withColumn(out[1], F.col(col) + F.col("_dc"))
+        .withColumn(out[1], F.pmod(F.col(col) + F.col("_dc"), F.lit(round(360.0 / size_deg))))
         .drop("_dr", "_dc")
     )

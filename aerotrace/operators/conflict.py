@@ -115,8 +115,8 @@ def conflict_probability(
 
 def snapshot(df: DataFrame, bbox: tuple[float, float, float, float], as_of) -> DataFrame:
     """Latest fresh in-box position with an altitude, per aircraft."""
-    rows = df.where(
-        in_bbox("lat", "lon", bbox) & fresh(as_of) & F.col("baro_alt_ft").isNotNull()
+    rows = fresh(df, as_of).where(
+        in_bbox("lat", "lon", bbox) & F.col("baro_alt_ft").isNotNull()
     ).select(KEY, "ts", "lat", "lon", F.col("baro_alt_ft").alias("alt_ft"))
     return latest_of(rows)
 

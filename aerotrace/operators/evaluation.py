@@ -27,6 +27,7 @@ def chronological_split(
     df: DataFrame, ts: str, train: float = TRAIN_FRAC, val: float = VAL_FRAC
 ) -> DataFrame:
     """Add ``fold`` by elapsed time between the first and last timestamp; cuts are half-open.
+    A row without a time has no fold.
 
     The two bounds are read first (one row), so a later filter on the fold is a plain comparison
     with literals that reaches the scan.
@@ -37,23 +38,25 @@ def chronological_split(
     cut = lambda f: F.lit(None if lo is None else lo + float(hi - lo) * f)
     return df.withColumn(
         "fold",
-        F.when(us < cut(train), "train").when(us < cut(train + val), "val").otherwise("test"),
+        F.when(us < cut(train), "train").when(us < cut(train + val), "val").when(us.isNotNull(), "test"),
     )
 
 
 def bucket_split(
     grid: DataFrame, bucket: str = "bucket", train: float = TRAIN_FRAC, val: float = VAL_FRAC
 ) -> DataFrame:
-    """Add ``fold`` by position of the bucket on the even time axis."""
+    """Add ``fold`` by position of the bucket on the even time axis; none without a bucket."""
     _check_fractions(train, val)
     lo, hi = grid.agg(F.min(bucket), F.max(bucket)).first()
+    if lo is None:
+        return grid.withColumn("fold", F.lit(None).cast("string"))
     total = hi - lo + 1
     b = F.col(bucket)
     return grid.withColumn(
         "fold",
         F.when(b < lo + int(total * train), "train")
         .when(b < lo + int(total * (train + val)), "val")
-        .otherwise("test"),
+        .when(b.isNotNull(), "test"),
     )
 
 
@@ -196,7 +199,7 @@ def score_predictions(pred: DataFrame, truth: DataFrame, tol_s: int = 3) -> Data
     """
     width = tol_s * 1000
     due = F.unix_millis("issued_at") + F.col("horizon_s") * 1000
-    wanted = pred.withColumn("_due", due).withColumn(
+    wanted = pred.withColumn("_row", F.monotonically_increasing_id()).withColumn("_due", due).withColumn(
         "_b", F.explode(F.array(*[F.floor(F.col("_due") / width) + d for d in (-1, 0, 1)]))
     )
     seen = truth.select(
@@ -210,7 +213,7 @@ def score_predictions(pred: DataFrame, truth: DataFrame, tol_s: int = 3) -> Data
     matched = (
         wanted.join(seen, [KEY, "_b"])
         .where(off <= width)
-        .groupBy(*pred.columns)
+        .groupBy("_row", *pred.columns)
         .agg(F.min_by(F.struct("_ms", "_lat", "_lon"), F.struct(off, F.col("_ms"))).alias("t"))
     )
     e = enu_east("t._lat", "t._lon", "lat0", "lon0")

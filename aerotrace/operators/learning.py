@@ -21,19 +21,24 @@ EMBEDDING_DIM = 64
 
 
 def fit_eta(
-    train: DataFrame, val: DataFrame, max_iter: int = 50, max_bins: int = 1024, step: float = 0.1
+    train: DataFrame, val: DataFrame, max_iter: int = 50, step: float = 0.1
 ) -> PipelineModel:
-    """Boosted trees on the arrival-delay features: absolute loss, stopped on the validation fold."""
+    """Boosted trees on the arrival-delay features: absolute loss, stopped on the validation fold.
+
+    The number of bins follows from the largest category, so any number of airports fits.
+    """
     data = train.withColumn("_is_val", F.lit(False)).unionByName(
         val.withColumn("_is_val", F.lit(True))
     )
     numeric = [c for c in ETA_FEATURES if c not in CATEGORICAL]
+    indexer = StringIndexer(
+        inputCols=list(CATEGORICAL),
+        outputCols=[f"{c}_ix" for c in CATEGORICAL],
+        handleInvalid="keep",
+    ).fit(data)
+    max_bins = max(32, *(len(labels) + 1 for labels in indexer.labelsArray))
     stages = [
-        StringIndexer(
-            inputCols=list(CATEGORICAL),
-            outputCols=[f"{c}_ix" for c in CATEGORICAL],
-            handleInvalid="keep",
-        ),
+        indexer,
         VectorAssembler(
             inputCols=[*numeric, *[f"{c}_ix" for c in CATEGORICAL]], outputCol="features"
         ),

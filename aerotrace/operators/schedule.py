@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerotrace.functions.clock import flight_key, hhmm_hour, hhmm_minutes
-from aerotrace.operators.slicing import HOT_ROWS, SLICE, lag_sliced
+from aerotrace.operators.slicing import SLICE, lag_sliced
 
 # Bucket length, congestion block, default taxi-in, mph to knots.
 BUCKET_MIN = 15
@@ -167,13 +167,11 @@ def _normalised(edges: DataFrame) -> DataFrame:
     return edges.withColumn("w", F.col("n") / F.sum("n").over(Window.partitionBy("src")))
 
 
-def with_previous_leg(
-    df: DataFrame, fields: list[str], hot_rows: int | None = HOT_ROWS
-) -> DataFrame:
+def with_previous_leg(df: DataFrame, fields: list[str]) -> DataFrame:
     """Flights with a tail number and ``prev``: ``fields`` of the tail's previous leg.
 
-    Legs are ordered by date, planned departure and then all identifying columns. A tail
-    has few legs a day, so dates serve as slices only if some tail is unusually large.
+    Legs are ordered by date, planned departure and then all identifying columns; dates are
+    the slices, whatever the number of legs of a tail.
     """
     order = ["flight_date", "_dep", "carrier", "flight_number", "origin", "dest", "crs_arr_hhmm"]
     legs = (
@@ -181,18 +179,15 @@ def with_previous_leg(
         .withColumn("_dep", hhmm_minutes("crs_dep_hhmm", nulls="zero"))
         .withColumn(SLICE, day_number("flight_date"))
     )
-    return lag_sliced(legs, ["tail_number"], order, fields, hot_rows=hot_rows).drop(
-        "_dep", SLICE
-    )
+    return lag_sliced(legs, ["tail_number"], order, fields).drop("_dep", SLICE)
 
 
-def rotation_edges(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def rotation_edges(df: DataFrame) -> DataFrame:
     """Aircraft-rotation edges: a tail leaving from where it last arrived adds (origin, dest)."""
     turned = with_previous_leg(
         df.select("tail_number", "flight_date", "crs_dep_hhmm", "crs_arr_hhmm", "carrier",
                   "flight_number", "origin", "dest"),
         ["dest"],
-        hot_rows,
     ).where(F.col("prev.dest") == F.col("origin"))
     counts = turned.groupBy(F.col("origin").alias("src"), F.col("dest").alias("dst")).agg(
         F.count(F.lit(1)).alias("n")

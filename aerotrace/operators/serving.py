@@ -6,14 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerotrace.functions.geo import in_bbox
+from aerotrace.operators.slicing import SLICE, row_number_sliced, time_slice
 from aerotrace.operators.spatial import in_cells
 from aerotrace.operators.tracks import KEY
 
-# Poll interval plus margin is how old a live row may be; feed and list limits.
+# Fixed value: poll interval plus margin is how old a live row may be.
 STALE_S = 120
-LATEST_LIMIT = 2000
-TRACK_LIMIT = 2000
-FEED_LIMIT = 200
 
 POSITION = ("icao24", "ts", "lat", "lon", "baro_alt_ft", "velocity_kt", "heading_deg",
             "vert_rate_fpm", "on_ground")
@@ -23,10 +21,24 @@ def _instant(as_of) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
 
 
-def fresh(as_of, stale_s: float = STALE_S) -> Column:
-    """Report at most ``stale_s`` old at ``as_of`` (and not from after it)."""
+def fresh(df: DataFrame, as_of, stale_s: float = STALE_S) -> DataFrame:
+    """Reports at most ``stale_s`` old at ``as_of`` (and not from after it)."""
     t = _instant(as_of)
-    return (F.col("ts") > t - F.make_dt_interval(secs=F.lit(stale_s))) & (F.col("ts") <= t)
+    lo = t - F.make_dt_interval(secs=F.lit(stale_s))
+    return _folders(df.where((F.col("ts") > lo) & (F.col("ts") <= t)), lo, t)
+
+
+def _folders(df: DataFrame, lo: Column | None, hi: Column | None) -> DataFrame:
+    """In the archive's layout, bounds on the folders as well, so that whole ones are skipped."""
+    if "dt" in df.columns and "hour" in df.columns:
+        for bound, above in ((lo, True), (hi, False)):
+            if bound is not None:
+                day, hour = F.date_format(bound, "yyyy-MM-dd"), F.hour(bound)
+                at = F.col("dt").cast("string")
+                past = (at > day) | ((at == day) & (F.col("hour").cast("int") >= hour))
+                before = (at < day) | ((at == day) & (F.col("hour").cast("int") <= hour))
+                df = df.where(past if above else before)
+    return df
 
 
 def latest_of(df: DataFrame, key: str = KEY, ts: str = "ts") -> DataFrame:
@@ -45,61 +57,59 @@ def latest_in_bbox(
     bbox: tuple[float, float, float, float],
     as_of,
     stale_s: float = STALE_S,
-    limit: int = LATEST_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Latest in-box fresh row per aircraft, ordered by aircraft.
 
     The box is applied first: an aircraft that has left still shows its last row inside.
     """
-    inside = df.where(in_bbox("lat", "lon", bbox) & fresh(as_of, stale_s)).select(*POSITION)
-    return latest_of(inside).orderBy(KEY).limit(limit)
+    inside = fresh(df, as_of, stale_s).where(in_bbox("lat", "lon", bbox)).select(*POSITION)
+    return _first(latest_of(inside).orderBy(KEY), limit)
 
 
 def latest_in_cells(df: DataFrame, cells: list[str], as_of, stale_s: float = STALE_S) -> DataFrame:
     """Full frame of a viewport: latest fresh row per aircraft among the subscribed cells."""
-    return latest_of(in_cells(df.where(fresh(as_of, stale_s)), cells).select(*POSITION))
+    return latest_of(in_cells(fresh(df, as_of, stale_s), cells).select(*POSITION))
 
 
-def track(df: DataFrame, key: str, t0, t1, limit: int = TRACK_LIMIT) -> DataFrame:
-    """One aircraft's reports between two times, ascending."""
-    return (
-        _between(df, t0, t1)
-        .where(F.col(KEY) == key.lower())
-        .select(*POSITION)
-        .orderBy("ts")
-        .limit(limit)
-    )
+def _first(ordered: DataFrame, limit: int | None) -> DataFrame:
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def track(df: DataFrame, key: str, t0, t1, limit: int | None = None) -> DataFrame:
+    """One aircraft's reports between two times, ascending; only a caller's ``limit`` cuts them."""
+    found = _between(df, t0, t1).where(F.col(KEY) == key.lower()).select(*POSITION)
+    return _first(found.orderBy("ts"), limit)
 
 
-def tracks(df: DataFrame, t0, t1, limit: int = TRACK_LIMIT) -> DataFrame:
-    """The same for every aircraft at once: its first ``limit`` reports in the interval.
+def tracks(df: DataFrame, t0, t1, limit: int | None = None, slice_s: int = 3600) -> DataFrame:
+    """The same for every aircraft at once, with its position ``pos`` in the interval.
 
-    The rank filter is also applied before the shuffle, so a crowded aircraft sends no more
-    than ``limit`` rows per task.
+    Positions are counted per (aircraft, slice) and carried. With a ``limit`` the rank filter
+    is also applied before the shuffle, so a crowded aircraft sends few rows per task.
     """
-    order = Window.partitionBy(KEY).orderBy("ts")
-    ranked = _between(df, t0, t1).select(*POSITION, F.row_number().over(order).cast("long").alias("pos"))
-    return ranked.where(F.col("pos") <= limit)
+    found = _between(df, t0, t1).select(*POSITION)
+    if limit is not None:
+        order = Window.partitionBy(KEY).orderBy("ts")
+        ranked = found.withColumn("pos", F.row_number().over(order).cast("long"))
+        return ranked.where(F.col("pos") <= limit)
+    sliced = found.withColumn(SLICE, time_slice("ts", slice_s))
+    return row_number_sliced(sliced, [KEY], ["ts"], "pos").drop(SLICE)
 
 
 def _between(df: DataFrame, t0, t1) -> DataFrame:
     lo, hi = _instant(t0), _instant(t1)
-    found = df.where(F.col("ts").between(lo, hi))
-    if "dt" in df.columns:  # archive layout: let whole folders be skipped
-        found = found.where(
-            F.col("dt").between(F.date_format(lo, "yyyy-MM-dd"), F.date_format(hi, "yyyy-MM-dd"))
-        )
-    return found
+    return _folders(df.where(F.col("ts").between(lo, hi)), lo, hi)
 
 
 def anomaly_feed(
-    df: DataFrame, since, kind: str | None = None, limit: int = FEED_LIMIT
+    df: DataFrame, since, kind: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Anomalies since a time, optionally of one kind, newest first."""
-    found = df.where(F.col("ts") >= _instant(since))
+    found = _folders(df.where(F.col("ts") >= _instant(since)), _instant(since), None)
     if kind is not None:
         found = found.where(F.col("kind") == kind)
-    return found.orderBy(F.col("ts").desc(), KEY, "kind").limit(limit)
+    return _first(found.orderBy(F.col("ts").desc(), KEY, "kind"), limit)
 
 
 def airport_detail(airports: DataFrame, runways: DataFrame) -> DataFrame:
@@ -154,7 +164,7 @@ def similar(emb: DataFrame, query: Column, k: int) -> DataFrame:
 
 def state_as_of(df: DataFrame, t) -> DataFrame:
     """World state at a time: latest row per aircraft not after it."""
-    return latest_of(df.where(F.col("ts") <= _instant(t)))
+    return latest_of(_folders(df.where(F.col("ts") <= _instant(t)), None, _instant(t)))
 
 
 def counts_by(df: DataFrame, cols: list[str]) -> DataFrame:

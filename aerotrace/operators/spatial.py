@@ -9,7 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerotrace.functions.geo import cell_id, cell_index, explode_ring, haversine_m
+from aerotrace.functions.geo import (
+    bearing_delta,
+    cell_column,
+    cell_id,
+    cell_index,
+    explode_ring,
+    haversine_m,
+)
 
 # Match radius, box padding and altitude band.
 AIRPORT_MATCH_M = 15_000.0
@@ -27,40 +34,39 @@ def nearest_airport(
 ) -> DataFrame:
     """Add ``airport``: the nearest one inside the padded box and ``max_m``, else null.
 
-    Airports are copied to the 3x3 cells around them, so each point meets its candidates by an
-    equi-join on its own cell; box and distance are residual conditions. Ties go to the greater
-    code. Points must be distinct rows.
+    Airports are copied to the 3x3 cells around them and put together per cell (few each), so
+    each point meets all its candidates by one equi-join on its own cell and stays one row,
+    equal points too. Ties go to the greater code.
     """
     ports = explode_ring(
         airports.select(
-            F.col("icao").alias("_icao"),
-            F.col("lat").alias("_alat"),
-            F.col("lon").alias("_alon"),
+            F.struct("icao", "lat", "lon").alias("_port"),
             cell_index("lat", pad_deg).alias("_r"),
-            cell_index("lon", pad_deg).alias("_c"),
+            cell_column("lon", pad_deg).alias("_c"),
         ),
         1,
         "_r",
         "_c",
         ("_row", "_col"),
-    ).drop("_r", "_c")
-    located = points.select(
-        "*", cell_index("lat", pad_deg).alias("_row"), cell_index("lon", pad_deg).alias("_col")
-    )
-    dist = haversine_m("lat", "lon", "_alat", "_alon")
-    matched = located.alias("p").join(
-        ports.alias("a"),
-        (F.col("p._row") == F.col("a._row"))
-        & (F.col("p._col") == F.col("a._col"))
-        & F.col("_alat").between(F.col("lat") - pad_deg, F.col("lat") + pad_deg)
-        & F.col("_alon").between(F.col("lon") - pad_deg, F.col("lon") + pad_deg)
-        & (dist <= max_m),
-        "left",
+        pad_deg,
     )
-    return matched.groupBy(*[F.col(f"p.{c}") for c in points.columns]).agg(
-        F.max_by("_icao", F.struct(-dist, F.col("_icao"))).alias("airport")
+    ports = ports.groupBy("_row", "_col").agg(F.collect_list("_port").alias("_ports"))
+    located = points.select(
+        "*", cell_index("lat", pad_deg).alias("_row"), cell_column("lon", pad_deg).alias("_col")
     )
 
+    def candidate(p: Column) -> Column:
+        m = haversine_m(F.col("lat"), F.col("lon"), p["lat"], p["lon"])
+        near = (
+            (F.abs(p["lat"] - F.col("lat")) <= pad_deg)
+            & (F.abs(bearing_delta(F.col("lon"), p["lon"])) <= pad_deg)
+            & (m <= max_m)
+        )
+        return F.when(near, F.struct((-m).alias("_d"), p["icao"].alias("_icao")))
+
+    best = F.array_max(F.transform("_ports", candidate))
+    return located.join(ports, ["_row", "_col"], "left").select(*points.columns, best["_icao"].alias("airport"))
+
 
 def candidate_pairs(
     df: DataFrame, k: int = 1, band_ft: float = ALTITUDE_BAND_FT, size_deg: float = PAIR_CELL_DEG
@@ -76,10 +82,10 @@ def candidate_pairs(
         "lon",
         "alt_ft",
         cell_index("lat", size_deg).alias("_row"),
-        cell_index("lon", size_deg).alias("_col"),
+        cell_column("lon", size_deg).alias("_col"),
         F.floor(F.col("alt_ft") / band_ft).cast("int").alias("_lev"),
     )
-    ring = explode_ring(placed, k, "_row", "_col", ("_row2", "_col2")).withColumn(
+    ring = explode_ring(placed, k, "_row", "_col", ("_row2", "_col2"), size_deg).withColumn(
         "_lev2", F.explode(F.sequence(F.col("_lev") - 1, F.col("_lev") + 1))
     )
     left = ring.select(
@@ -137,14 +143,20 @@ def wake_category(wtc: Column) -> Column:
     return F.when(wtc.isin("L", "M", "H", "J"), wtc).otherwise("unknown")
 
 
-def subscription(cells: list[str], cap: int = 300) -> list[str]:
-    """A viewport's cells: repeats dropped in order, at most ``cap`` kept."""
+def subscription(cells: list[str], cap: int | None = None) -> list[str]:
+    """A viewport's cells: repeats dropped in order; only a caller's ``cap`` cuts them."""
     return list(dict.fromkeys(cells))[:cap]
 
 
-def in_cells(df: DataFrame, cells: list[str], cap: int = 300, cell: str = "cell") -> DataFrame:
-    """Rows whose cell is subscribed. At most ``cap`` literals, so a pushed-down filter."""
-    return df.where(F.col(cell).isin(subscription(cells, cap)))
+def in_cells(df: DataFrame, cells: list[str] | DataFrame, cell: str = "cell") -> DataFrame:
+    """Rows whose cell is subscribed.
+
+    A list becomes a filter that reaches the scan; a table of cells (column ``cell``), of any
+    size, a semi join.
+    """
+    if isinstance(cells, DataFrame):
+        return df.join(cells.select(F.col("cell").alias(cell)), cell, "left_semi").select(*df.columns)
+    return df.where(F.col(cell).isin(subscription(cells)))
 
 
 def with_cell(df: DataFrame, size_deg: float = PAIR_CELL_DEG) -> DataFrame:

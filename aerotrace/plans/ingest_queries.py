@@ -386,7 +386,7 @@ def b5(spark, sf):
     "b6_cell_ring_counts",
     sql(
         """
-        SELECT r + dr AS cell_row, c + dc AS cell_col, count(*) AS n
+        SELECT r + dr AS cell_row, (c + dc + 1200) % 1200 AS cell_col, count(*) AS n
         FROM (SELECT floor(lat / 0.3e0)::INT AS r, floor(lon / 0.3e0)::INT AS c FROM fx_reports)
         CROSS JOIN (VALUES (-1), (0), (1)) a(dr) CROSS JOIN (VALUES (-1), (0), (1)) b(dc)
         GROUP BY 1, 2
@@ -397,9 +397,9 @@ def b5(spark, sf):
 def b6(spark, sf):
     # Counting per cell first keeps the ring fan-out small.
     cells = fx.reports(spark, sf).groupBy(
-        geo.cell_index("lat", 0.3).alias("r"), geo.cell_index("lon", 0.3).alias("c")
+        geo.cell_index("lat", 0.3).alias("r"), geo.cell_column("lon", 0.3).alias("c")
     ).agg(F.count(F.lit(1)).alias("m"))
-    ring = geo.explode_ring(cells, 1, "r", "c", ("cell_row", "cell_col"))
+    ring = geo.explode_ring(cells, 1, "r", "c", ("cell_row", "cell_col"), 0.3)
     return ring.groupBy("cell_row", "cell_col").agg(F.sum("m").alias("n"))
 
 

@@ -35,7 +35,7 @@ def c8(spark, sf):
     return spatial.in_cells(rows, CELLS).select("icao24", "ts", "cell")
 
 
-@query("g1_latest_in_bbox", latest_sql(f"{IN_BOX} AND {FRESH}", "ORDER BY icao24 LIMIT 2000"))
+@query("g1_latest_in_bbox", latest_sql(f"{IN_BOX} AND {FRESH}", "ORDER BY icao24"))
 def g1(spark, sf):
     return serving.latest_in_bbox(fx.reports(spark, sf), BBOX, AS_OF)
 
@@ -52,7 +52,6 @@ def g2(spark, sf):
         SELECT {report_rounded()}, pos FROM (
           SELECT *, row_number() OVER (PARTITION BY icao24 ORDER BY ts) AS pos FROM fx_reports
           WHERE ts BETWEEN TIMESTAMP '2024-01-01 14:01:00' AND TIMESTAMP '2024-01-01 14:10:00')
-        WHERE pos <= 2000
         """,
         "fx_reports",
     ),
@@ -69,7 +68,6 @@ def g3(spark, sf):
                CASE WHEN e_kind = 'takeoff'
                     THEN md5(icao24 || '|' || epoch_ms(e_ts)::VARCHAR) END AS flight_id
         FROM hits WHERE ts >= TIMESTAMP '2024-01-01 14:01:00'
-        ORDER BY ts DESC, icao24, kind LIMIT 200
         """,
         "hits",
     ),

@@ -234,27 +234,50 @@ def test_subscription_cap():
 # --- schedule -----------------------------------------------------------------------------------
 
 
-def test_congestion_counts_others(spark):
-    d, e = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
-    rows = [(d, "OMA", "1135"), (d, "OMA", "1140"), (d, "OMA", "1215"), (d, "JFK", "1137"), (e, "OMA", "1136")]
+def test_congestion_blocks_at_their_borders(spark):
+    """Half-hour blocks of the planned arrival: borders, midnight as 0 and 2400, a missing time."""
+    d = dt.date(2024, 3, 9)
+    times = ["0", "29", "30", "0059", "2359", "2330", "2400", None, "1"]
+    rows = [(d, "PDX", t) for t in times] + [(d, "SEA", "15")]
     df = spark.createDataFrame(rows, "flight_date date, dest string, crs_arr_hhmm string")
-    got = {(r.flight_date, r.dest, r.crs_arr_hhmm): r.dest_sched_arrivals_30min for r in schedule.dest_congestion(df).collect()}
-    assert [got[r] for r in rows] == [1, 1, 0, 0, 0]
-
-
-def test_lookup_falls_back(spark):
-    train = spark.createDataFrame([("OMA", "9E", 4.0), ("OMA", "9E", 6.0), ("OMA", "WN", 20.0), ("JFK", "AA", 15.0)], "dest string, carrier string, taxi_in_min double")
-    asked = spark.createDataFrame([("OMA", "9E"), ("OMA", "ZZ"), ("XXX", "ZZ")], "dest string, carrier string")
-    got = {(r.dest, r.carrier): r.m for r in schedule.lookup_fallback(asked, schedule.taxi_in_medians(train), "m").collect()}
-    assert got == {("OMA", "9E"): 5.0, ("OMA", "ZZ"): 6.0, ("XXX", "ZZ"): 10.5}
-
-
-def test_rotation_edges_same_with_and_without_slices(spark):
-    from aerotrace.plans import fixtures as fx
-
-    flights = fx.flights(spark, "/root/testdata/sf0.001")
-    edges = [sorted(map(tuple, schedule.rotation_edges(flights, hot).collect())) for hot in (None, 10**9, 0)]
-    assert edges[0] == edges[1] == edges[2]
+    got = {(r.dest, r.crs_arr_hhmm): r.dest_sched_arrivals_30min for r in schedule.dest_congestion(df).collect()}
+    early, next_, late = {"0", "29", "1"}, {"30", "0059"}, {"2359", "2330"}
+    for group in (early, next_, late):
+        for t in group:
+            assert got["PDX", t] >= len(group) - 1, t
+    assert got["PDX", "30"] == got["PDX", "0059"] == 1
+    assert got["SEA", "15"] == 0
+
+
+def test_medians_skip_missing_and_unseen(spark):
+    """A carrier without a value, an even group, ties, an airport that was never seen."""
+    rows = [("PDX", "AS", 7.0), ("PDX", "AS", None), ("PDX", "AS", 9.0), ("PDX", "AS", 9.0), ("PDX", "QX", None),
+            ("GEG", "QX", 3.0), ("GEG", "QX", 4.0)]
+    train = spark.createDataFrame(rows, "dest string, carrier string, taxi_in_min double")
+    asked = [("PDX", "AS"), ("PDX", "QX"), ("GEG", "QX"), ("GEG", "AS"), ("BOI", "AS"), ("PDX", None)]
+    got = schedule.lookup_fallback(
+        spark.createDataFrame(asked, "dest string, carrier string"), schedule.taxi_in_medians(train), "m"
+    )
+    found = {(r.dest, r.carrier): r.m for r in got.collect()}
+    assert found["PDX", "AS"] == 9.0 and found["GEG", "QX"] == 3.5
+    assert found["PDX", "QX"] == 9.0 and found["GEG", "AS"] == 3.5 and found["PDX", None] == 9.0
+    assert found["BOI", "AS"] == 7.0
+
+
+def test_rotation_edges_equal_a_sequential_pass(spark):
+    rng = random.Random(6)
+    ports, rows = ["AAA", "BBB", "CCC"], []
+    for k in range(300):
+        rows.append((f"N{k % 7}" if k % 11 else None, dt.date(2024, 1, 1 + rng.randrange(9)), f"{rng.randrange(24) * 100}",
+                     "0", "X", str(k), rng.choice(ports), rng.choice(ports)))
+    names = "tail_number string, flight_date date, crs_dep_hhmm string, crs_arr_hhmm string, carrier string, flight_number string, origin string, dest string"
+    counts, last = {}, {}
+    for tail, day, dep, _, _, number, origin, dest in sorted((r for r in rows if r[0]), key=lambda r: (r[0], r[1], int(r[2]) // 100, r[4], r[5], r[6], r[7])):
+        if last.get(tail) == origin:
+            counts[origin, dest] = counts.get((origin, dest), 0) + 1
+        last[tail] = dest
+    got = {(r.src, r.dst): r.n for r in schedule.rotation_edges(spark.createDataFrame(rows, names)).collect()}
+    assert got == counts
 
 
 def serve(times, closure, s=1.5):
@@ -284,10 +307,9 @@ def test_queue_equals_sequential(spark, seed):
             want[port, k + 1] = (base[k], shut[k])
     demand = spark.createDataFrame(rows, "airport string, day date, scheduled_minute int, flight_id string, operation string")
     shut = spark.createDataFrame(closures, "airport string, closed_from double, closed_for double")
-    for hot in (0, 10**9):
-        got = {(r.airport, r.queue_pos): (r.baseline_wait_min, r.scenario_wait_min)
-               for r in capacity.queue_waits(demand, shut, hot_rows=hot).collect()}
-        assert got == want
+    got = {(r.airport, r.queue_pos): (r.baseline_wait_min, r.scenario_wait_min)
+           for r in capacity.queue_waits(demand, shut).collect()}
+    assert got == want
 
 
 # --- windows and evaluation ---------------------------------------------------------------------
