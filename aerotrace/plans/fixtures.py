@@ -20,9 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position reports from ``events``: 60-step flight cycles at a 5 s cadence with one gap."""
+    """Position reports from ``events``: 60-step flight cycles at a 5 s cadence with one gap.
+
+    Four users make one aircraft, so tracks are long enough for every horizon and for
+    resampling. Aircraft fly in four areas; every third one flies 100 minutes later, so that
+    late folds have targets too; every fourth one keeps turning.
+    """
     events = table(spark, sf_dir, "events").select(
-        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")
+        "event_id", F.floor(F.col("user_id") / 4).alias("user_id"), F.col("ts").cast("timestamp").alias("ts")
     )
     numbered = row_number_sliced(
         events.withColumn(SLICE, time_slice("ts", 86_400)), ["user_id"], ["ts", "event_id"], "_rn"
@@ -50,17 +55,17 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(-1650)
         .cast("double")
     )
-    offset = n * 5 + F.when(n >= 40, 300).otherwise(0)
+    offset = n * 5 + F.when(n >= 40, 300).otherwise(0) + F.when(u % 3 == 2, 6000).otherwise(0)
     return numbered.select(
         F.lpad(F.lower(F.hex(u)), 6, "0").alias("icao24"),
         F.timestamp_seconds(F.lit(1_704_117_600) + offset).alias("ts"),
-        (F.lit(39.0) + (u % 10) * F.lit(3e-2) + p * F.lit(4e-3)).alias("lat"),
+        (F.lit(39.0) + (u % 4) * F.lit(2.0) + (u % 10) * F.lit(3e-2) + p * F.lit(4e-3)).alias("lat"),
         (F.lit(-98.0) + F.floor(u / 10) * F.lit(3e-2) + p * F.lit(5e-3)).alias("lon"),
         F.when(e % 97 == 0, None).otherwise(altitude).alias("baro_alt_ft"),
         F.when(p < 3, 15).when(p < 20, 280).when(p < 40, 450).otherwise(250).cast("double").alias(
             "velocity_kt"
         ),
-        ((45 + p * 3) % 360).cast("double").alias("heading_deg"),
+        ((45 + p * F.when(u % 4 == 1, 15).otherwise(3)) % 360).cast("double").alias("heading_deg"),
         vrate.alias("vert_rate_fpm"),
         ground.alias("on_ground"),
         F.when(e % 211 == 0, "7700").when(e % 223 == 0, "7600").otherwise("1200").alias("squawk"),
@@ -110,7 +115,7 @@ def airports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(
         airport_code(k).alias("icao"),
         F.col("n_name").alias("name"),
-        (F.lit(39.0) + (k % 5) * F.lit(8e-2)).alias("lat"),
+        (F.lit(39.0) + (k % 4) * F.lit(2.0) + (k % 5) * F.lit(8e-2)).alias("lat"),
         (F.lit(-98.0) + F.floor(k / 5) * F.lit(8e-2)).alias("lon"),
     )
 
@@ -199,7 +204,8 @@ def kept(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aircraft types: two known ones, one unknown code, one missing."""
     u = F.col("user_id")
-    return table(spark, sf_dir, "events").select("user_id").distinct().select(
+    users = table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 4).alias("user_id"))
+    return users.distinct().select(
         F.lpad(F.lower(F.hex(u)), 6, "0").alias("icao24"),
         F.when(u % 4 == 0, "b738").when(u % 4 == 1, "a320").when(u % 4 == 2, "zzzz").alias(
             "type_code"

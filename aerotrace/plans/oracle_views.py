@@ -59,8 +59,9 @@ view(
     """
     SELECT lpad(lower(hex(user_id)), 6, '0') AS icao24,
            TIMESTAMP '2024-01-01 14:00:00'
-             + to_seconds(5*n + CASE WHEN n >= 40 THEN 300 ELSE 0 END) AS ts,
-           39e0 + (user_id % 10)*3e-2 + p*4e-3 AS lat,
+             + to_seconds(5*n + CASE WHEN n >= 40 THEN 300 ELSE 0 END
+                          + CASE WHEN user_id % 3 = 2 THEN 6000 ELSE 0 END) AS ts,
+           39e0 + (user_id % 4)*2e0 + (user_id % 10)*3e-2 + p*4e-3 AS lat,
            -98e0 + (user_id // 10)*3e-2 + p*5e-3 AS lon,
            CASE WHEN event_id % 97 = 0 OR g THEN NULL
                 WHEN p = 59 AND user_id % 7 = 0 THEN 3000
@@ -69,7 +70,7 @@ view(
                 ELSE 34000 - (p-39)*1650 END::DOUBLE AS baro_alt_ft,
            CASE WHEN p < 3 THEN 15 WHEN p < 20 THEN 280 WHEN p < 40 THEN 450
                 ELSE 250 END::DOUBLE AS velocity_kt,
-           ((45 + 3*p) % 360)::DOUBLE AS heading_deg,
+           ((45 + CASE WHEN user_id % 4 = 1 THEN 15 ELSE 3 END*p) % 360)::DOUBLE AS heading_deg,
            CASE WHEN g THEN 0
                 WHEN p = 59 AND user_id % 7 = 0 THEN 800
                 WHEN event_id % 89 = 0 THEN NULL
@@ -82,7 +83,7 @@ view(
            event_id AS seq, 'fixture' AS source
     FROM (SELECT *, n % 60 AS p, (n % 60 < 3 OR (n % 60 = 10 AND user_id % 11 = 0)) AS g
           FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n
-                FROM events))
+                FROM (SELECT * REPLACE (user_id // 4 AS user_id) FROM events)))
     """,
 )
 view(
@@ -99,7 +100,7 @@ view(
     "fx_airports",
     """
     SELECT 'K' || lpad(n_nationkey::VARCHAR, 3, '0') AS icao, n_name AS name,
-           39e0 + (n_nationkey % 5)*8e-2 AS lat, -98e0 + (n_nationkey // 5)*8e-2 AS lon
+           39e0 + (n_nationkey % 4)*2e0 + (n_nationkey % 5)*8e-2 AS lat, -98e0 + (n_nationkey // 5)*8e-2 AS lon
     FROM nation
     """,
 )

@@ -9,6 +9,8 @@ from aerotrace.plans import fixtures as fx
 from aerotrace.plans.ingest_queries import BBOX, report_rounded
 from aerotrace.plans.oracle_views import rnd, sql
 from aerotrace.plans.registry import query
+from aerotrace.session import scratch_dir
+from aerotrace.sources import archive
 
 AS_OF = "2024-01-01 14:03:20"
 CELLS = ["130:-327", "131:-326", "130:-326", "130:-327", "131:-325"]
@@ -40,6 +42,28 @@ def g1(spark, sf):
     return serving.latest_in_bbox(fx.reports(spark, sf), BBOX, AS_OF)
 
 
+def archived(spark, sf):
+    """The reports as an archive by date and hour."""
+    path = scratch_dir(spark, "archive")
+    archive.write_archive(spatial.with_cell(fx.kept(spark, sf, "reports")), path)
+    return archive.read_archive(spark, path)
+
+
+@query("g1_archive", latest_sql(f"{IN_BOX} AND {FRESH}", "ORDER BY icao24"))
+def g1_archive(spark, sf):
+    return serving.latest_in_bbox(archived(spark, sf), BBOX, AS_OF)
+
+
+@query("g5_archive", latest_sql(f"{CELL} IN {WANTED} AND {FRESH}"))
+def g5_archive(spark, sf):
+    return serving.latest_in_cells(archived(spark, sf), CELLS, AS_OF)
+
+
+@query("g11_archive", latest_sql(f"ts <= TIMESTAMP '{AS_OF}'"))
+def g11_archive(spark, sf):
+    return serving.state_as_of(archived(spark, sf), AS_OF).select(*serving.POSITION)
+
+
 @query("g2_latest_of", latest_sql("true"))
 def g2(spark, sf):
     return serving.latest_of(fx.reports(spark, sf)).select(*serving.POSITION)

@@ -303,11 +303,10 @@ def f5(spark, sf):
                       THEN t.ts ELSE r.start_ts END
           FROM runs r JOIN t ON t.icao24 = r.icao24 AND t.i = r.i + 1)
         SELECT icao24, start_ts, max(ts) AS end_ts, sum(coalesce(d, 0)) AS turn_deg
-        FROM runs GROUP BY icao24, start_ts HAVING abs(sum(coalesce(d, 0))) >= 90
+        FROM runs GROUP BY icao24, start_ts HAVING abs(sum(coalesce(d, 0))) >= 720
         """,
         "num",
     ),
 )
 def f6(spark, sf):
-    # A quarter circle, because the derived tracks never turn through two.
-    return tracks.holding(fx.reports(spark, sf), turns=0.25)
+    return tracks.holding(fx.reports(spark, sf))

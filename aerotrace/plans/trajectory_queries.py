@@ -12,9 +12,8 @@ from aerotrace.plans.oracle_views import VIEWS, bearing, east, hav, north, rnd,
 from aerotrace.plans.registry import query
 from aerotrace.session import stored
 
-# The derived tracks are short: three of the five horizons have targets.
-HORIZONS = (60, 180, 300)
-RESAMPLED = 32
+HORIZONS = windows.HORIZONS_S
+RESAMPLED = 128
 BOX = (39.0, 39.4, -98.0, -97.0)
 AS_OF = "2024-01-01 14:03:20"
 DEST = ("39.16e0", "-97.84e0")
@@ -60,7 +59,7 @@ view(
       SELECT w.icao24, w.i, w.ts AS anchor_ts, w.lat AS lat0, w.lon AS lon0, w.baro_alt_ft AS alt0,
              h AS horizon_s, t.ts AS target_ts, t.lat, t.lon, t.baro_alt_ft AS alt_ft,
              row_number() OVER (PARTITION BY w.icao24, w.i, h ORDER BY {_OFF}, t.ts) AS rn
-      FROM states15 w CROSS JOIN (VALUES (60), (180), (300)) v(h)
+      FROM states15 w CROSS JOIN (VALUES (60), (180), (300), (600), (900)) v(h)
       JOIN states15 t ON t.icao24 = w.icao24 AND t.segment_start = w.segment_start
                      AND {_OFF} <= 3000)
     WHERE rn = 1
@@ -76,7 +75,7 @@ view(
            (l.alt_delta_ft - p.alt_delta_ft) / 5 * h AS pred_alt_ft
     FROM (SELECT * FROM steps WHERE k = 11) l JOIN (SELECT * FROM steps WHERE k = 10) p
       USING (icao24, anchor_ts)
-    CROSS JOIN (VALUES (60), (180), (300)) v(h)
+    CROSS JOIN (VALUES (60), (180), (300), (600), (900)) v(h)
     """,
     "steps",
 )
@@ -268,7 +267,7 @@ def e15(spark, sf):
         f"""
         SELECT icao24, anchor_ts, v.h AS horizon_s, target_ts, {rnd('n.lat', 'lat')},
                {rnd('n.lon', 'lon')}, n.alt_ft
-        FROM (SELECT icao24, i, ts FROM states15) w CROSS JOIN (VALUES (60), (180), (300)) v(h)
+        FROM (SELECT icao24, i, ts FROM states15) w CROSS JOIN (VALUES (60), (180), (300), (600), (900)) v(h)
         LEFT JOIN near15 n ON n.icao24 = w.icao24 AND n.i = w.i AND n.horizon_s = v.h
         """.replace("SELECT icao24, anchor_ts,", "SELECT w.icao24, w.ts AS anchor_ts,"),
         "near15",

@@ -27,15 +27,15 @@ def archive_rows(df: DataFrame) -> DataFrame:
 
 
 def write_archive(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Write reports under ``dt=/hour=``, clustered by aircraft and time inside each file.
+    """Write reports under ``dt=/hour=``, clustered by cell, aircraft and time inside each file.
 
-    Range partitioning cuts a busy hour, or one busy aircraft, into several tasks and files of
-    similar size, and the clustering lets row groups be skipped by aircraft.
+    Range partitioning cuts a busy hour, a busy cell or one busy aircraft into several tasks and
+    files of similar size, and the clustering lets row groups be skipped by cell.
     """
     (
         archive_rows(df)
-        .repartitionByRange("dt", "hour", "icao24", "ts")
-        .sortWithinPartitions("dt", "hour", "icao24", "ts")
+        .repartitionByRange("dt", "hour", "cell", "icao24", "ts")
+        .sortWithinPartitions("dt", "hour", "cell", "icao24", "ts")
         .write.mode(mode)
         .partitionBy("dt", "hour")
         .parquet(path)

@@ -6,6 +6,7 @@ import pytest
 from aerotrace.operators import conflict, serving, spatial, tracks, windows
 from aerotrace.plans import catalog
 from aerotrace.plans import fixtures as fx
+from aerotrace.sources import archive
 
 from conftest import SF_DIR
 
@@ -47,5 +48,33 @@ def test_point_filters_reach_the_scan(spark, reports):
     assert "squawk" not in text.split("ReadSchema:")[1]
 
 
+@pytest.mark.parametrize("read", [
+    lambda df: serving.latest_in_bbox(df, (39, 40, -98, -97), "2024-01-01 14:03:20"),
+    lambda df: serving.latest_in_cells(df, ["130:-327"], "2024-01-01 14:03:20"),
+    lambda df: serving.state_as_of(df, "2024-01-01 14:03:20"),
+    lambda df: serving.anomaly_feed(df.withColumn("kind", df.squawk), "2024-01-01 15:00:00"),
+    lambda df: conflict.snapshot(df, (39, 40, -98, -97), "2024-01-01 14:03:20"),
+])
+def test_archive_folders_are_skipped(spark, reports, tmp_path, read):
+    archive.write_archive(spatial.with_cell(reports), str(tmp_path / "a"))
+    text = plan(read(archive.read_archive(spark, str(tmp_path / "a"))))
+    bounds = text.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "dt#" in bounds and "hour#" in bounds
+
+
+def test_no_horizon_phase_or_rule_is_empty(spark):
+    """The derived data must reach every branch, or equal results prove little."""
+    sf = "/root/testdata/sf0.01"
+    reports = fx.kept(spark, sf, "reports")
+    states = tracks.track_states(reports)
+    phases = {r.phase for r in states.select("phase").distinct().collect()}
+    assert {"climb", "cruise", "descent", "approach"} <= phases
+    targets = windows.nearest_in_time(reports, windows.HORIZONS_S).where("target_ts is not null")
+    assert {r.horizon_s for r in targets.select("horizon_s").distinct().collect()} == set(windows.HORIZONS_S)
+    assert windows.resample(reports, 128).count() > 0 and tracks.holding(reports).count() > 0
+    kinds = {r.kind for r in tracks.all_anomalies(states).select("kind").distinct().collect()}
+    assert kinds == {"go_around", "rapid_descent", "squawk_emergency"}
+
+
 def test_every_query_is_registered_once():
     assert set(catalog.ORACLE) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 90
