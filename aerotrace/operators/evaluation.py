@@ -153,23 +153,41 @@ def quantile_forecast(train: DataFrame) -> DataFrame:
     return exact_quantiles(residuals(train), ["horizon_s", "phase", "axis"], "r", QUANTILE_PROBS)
 
 
+def pooled_quantiles(train: DataFrame) -> DataFrame:
+    """Residual quantiles per (horizon, axis) over all phases, with a null phase: what
+    ``apply_quantiles`` falls back to for a phase without residuals."""
+    pooled = exact_quantiles(residuals(train), ["horizon_s", "axis"], "r", QUANTILE_PROBS)
+    return pooled.withColumn("phase", F.lit(None).cast("string"))
+
+
+def quantile_model(train: DataFrame) -> DataFrame:
+    """The quantiles per phase and the pooled ones."""
+    return quantile_forecast(train).unionByName(pooled_quantiles(train))
+
+
 def apply_quantiles(points: DataFrame, model: DataFrame) -> DataFrame:
-    """Point forecasts widened to quantiles; an unseen (horizon, phase) stays a point.
+    """Point forecasts widened to quantiles. An unseen phase takes the pooled quantiles of the
+    horizon; without those its quantiles are null.
 
     The model has one row per horizon, phase and axis (a few hundred at most).
     """
-    wide = model.groupBy("horizon_s", "phase").agg(
-        *[
-            F.max(F.when(F.col("axis") == a, F.col(k))).alias(f"r_{k}_{a}")
-            for a in AXES
-            for k in QUANTILE_PROBS
-        ]
-    )
-    joined = points.join(wide, ["horizon_s", "phase"], "left")
+
+    def wide(rows: DataFrame, prefix: str, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(
+            *[
+                F.max(F.when(F.col("axis") == a, F.col(k))).alias(f"{prefix}_{k}_{a}")
+                for a in AXES
+                for k in QUANTILE_PROBS
+            ]
+        )
+
+    own = wide(model.where("phase is not null"), "r", "horizon_s", "phase")
+    pooled = wide(model.where("phase is null"), "p", "horizon_s")
+    joined = points.join(own, ["horizon_s", "phase"], "left").join(pooled, "horizon_s", "left")
     return joined.select(
         *points.columns,
         *[
-            (F.col(f"pred_{a}") + F.coalesce(f"r_{k}_{a}", F.lit(0.0))).alias(f"{k}_{a}")
+            (F.col(f"pred_{a}") + F.coalesce(f"r_{k}_{a}", f"p_{k}_{a}")).alias(f"{k}_{a}")
             for a in AXES
             for k in QUANTILE_PROBS
         ],

@@ -95,25 +95,22 @@ view(
     "cv",
     "near15",
 )
-view(
-    "model",
-    """
-    SELECT horizon_s, phase, axis, quantile_cont(r, 0.1) AS q10, quantile_cont(r, 0.5) AS q50,
-           quantile_cont(r, 0.9) AS q90, count(*) AS n
+_RESIDUALS = """
     FROM (SELECT horizon_s, phase, 'east_m' AS axis, y_east_m - pred_east_m AS r, fold FROM scored
           UNION ALL SELECT horizon_s, phase, 'north_m', y_north_m - pred_north_m, fold FROM scored
           UNION ALL SELECT horizon_s, phase, 'alt_ft', y_alt_ft - pred_alt_ft, fold FROM scored)
     WHERE r IS NOT NULL AND fold = 'train' GROUP BY ALL
-    """,
-    "scored",
-)
+"""
+_QUANTILES = "quantile_cont(r, 0.1) AS q10, quantile_cont(r, 0.5) AS q50, quantile_cont(r, 0.9) AS q90"
+view("model", f"SELECT horizon_s, phase, axis, {_QUANTILES}, count(*) AS n {_RESIDUALS}", "scored")
+view("pooled", f"SELECT horizon_s, axis, {_QUANTILES} {_RESIDUALS}", "scored")
 _PIVOT = ", ".join(
     f"max(CASE WHEN axis = '{a}' THEN {q} END) AS r_{q}_{a}"
     for a in conflict.AXES
     for q in conflict.QUANTILES
 )
 _QCOLS = ", ".join(
-    f"f.pred_{a} + coalesce(m.r_{q}_{a}, 0) AS {q}_{a}"
+    f"f.pred_{a} + coalesce(m.r_{q}_{a}, p.r_{q}_{a}) AS {q}_{a}"
     for a in conflict.AXES
     for q in conflict.QUANTILES
 )
@@ -124,10 +121,11 @@ def widened(source: str) -> str:
     SELECT f.*, {_QCOLS} FROM {source} f
     LEFT JOIN (SELECT horizon_s, phase, {_PIVOT} FROM model GROUP BY 1, 2) m
       ON m.horizon_s = f.horizon_s AND m.phase = f.phase
+    LEFT JOIN (SELECT horizon_s, {_PIVOT} FROM pooled GROUP BY 1) p ON p.horizon_s = f.horizon_s
     """
 
 
-view("quantiles", widened("scored"), "scored", "model")
+view("quantiles", widened("scored"), "scored", "model", "pooled")
 
 
 def pin(y: str, pred: str, q: float) -> str:
@@ -368,8 +366,7 @@ def j7(spark, sf):
 
 def quantile_forecasts(spark, sf):
     rows = forecast(spark, sf)
-    model = evaluation.quantile_forecast(rows.where("fold = 'train'"))
-    return evaluation.apply_quantiles(rows, model)
+    return evaluation.apply_quantiles(rows, evaluation.quantile_model(rows.where("fold = 'train'")))
 
 
 @query(
@@ -547,7 +544,7 @@ view("k_phase", VIEWS["last_phase"][1].replace("last12", "k_last12").replace("la
 view("k_win", VIEWS["last_win"][1].replace("last12", "k_last12").replace("last_phase", "k_phase"), "k_phase")
 view("k_steps", steps_sql("k_win"), "k_win", "num")
 view("k_cv", VIEWS["cv"][1].replace("FROM steps", "FROM k_steps"), "k_steps")
-view("k_quant", widened("k_cv"), "k_cv", "model")
+view("k_quant", widened("k_cv"), "k_cv", "model", "pooled")
 
 
 def _draw(side: str, axis: str, i: int) -> str:
@@ -586,7 +583,7 @@ view(
 def conflict_inputs(spark, sf):
     """Reports and fitted model as stored tables: the composition reads both several times."""
     reports = fx.kept(spark, sf, "reports")
-    model = evaluation.quantile_forecast(forecast(spark, sf).where("fold = 'train'"))
+    model = evaluation.quantile_model(forecast(spark, sf).where("fold = 'train'"))
     return reports, stored(spark, model, "model")
 
 

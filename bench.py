@@ -45,7 +45,7 @@ def main() -> None:
     airports, closures = fx.airports(spark, sf_dir), fx.closures(spark, sf_dir)
     model = stored(
         spark,
-        evaluation.quantile_forecast(forecast(spark, sf_dir).where("fold = 'train'")),
+        evaluation.quantile_model(forecast(spark, sf_dir).where("fold = 'train'")),
         "model",
     )
 
