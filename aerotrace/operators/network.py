@@ -201,21 +201,24 @@ def recent_node_ops(legs: DataFrame, as_of, buckets: int = TRAILING) -> DataFram
     )
 
 
+RIPPLE_MEASURES = ("mean_dep_delay_min", "mean_arr_delay_min", "ops_count", "cancellations")
+
+
 def ripple(
     grid: DataFrame,
-    edges: DataFrame,
+    edges: dict[str, DataFrame],
     closures: DataFrame,
     neighbors: DataFrame,
     window: int = TRAILING,
     hops: int = 2,
-    col: str = "mean_arr_delay_min",
+    measures: tuple[str, ...] = RIPPLE_MEASURES,
 ) -> DataFrame:
-    """Diffusion delta of a closure: change of the spread delay at the strongest neighbours.
+    """Diffusion delta of a closure: change of the spread measures at the strongest neighbours.
 
     ``closures`` has ``airport, bucket, closed_for`` (minutes). The airport's values in the last
     ceil(closed_for / 15) cells of the ``window`` before the bucket are set to zero. Spreading
-    is linear, so only the removed values are spread instead of two whole grids. Not a trained
-    effect.
+    is linear, so only the removed values are spread instead of two whole grids, each measure
+    over each graph of ``edges``. Not a trained effect.
     """
     affected = F.least(F.lit(window), F.ceil(F.col("closed_for") / BUCKET_MIN))
     cells = closures.select(
@@ -224,15 +227,22 @@ def ripple(
         F.col("bucket").alias("closed_bucket"),
         F.explode(F.sequence(F.col("bucket") - affected, F.col("bucket") - 1)).alias("bucket"),
     )
-    removed = cells.join(grid.select("airport", "bucket", col), ["airport", "bucket"]).groupBy(
-        "closed_airport", "closed_bucket", "airport"
-    ).agg((-F.sum(col) / window).alias("delta"))
+    values = F.explode(
+        F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
+    )
     scenario = ("closed_airport", "closed_bucket")
-    state, total = removed, None
-    for hop in range(1, hops + 1):
-        state = spread_once(state, edges, ["delta"], scenario)
-        part = state.withColumn("hop", F.lit(hop))
-        total = part if total is None else total.unionByName(part)
+    removed = (
+        cells.join(grid.select("airport", "bucket", values.alias("m")), ["airport", "bucket"])
+        .groupBy(*scenario, "airport", F.col("m.measure").alias("measure"))
+        .agg((-F.sum("m.value") / window).alias("delta"))
+    )
+    total = None
+    for name, graph in edges.items():
+        state = removed
+        for hop in range(1, hops + 1):
+            state = spread_once(state, graph, ["delta"], (*scenario, "measure"))
+            part = state.withColumn("hop", F.lit(hop)).withColumn("graph", F.lit(name))
+            total = part if total is None else total.unionByName(part)
     listed = (
         closures.select(
             F.col("airport").alias("closed_airport"), F.col("bucket").alias("closed_bucket")
@@ -244,13 +254,17 @@ def ripple(
             "closed_airport",
         )
         .withColumn("hop", F.explode(F.sequence(F.lit(1), F.lit(hops))))
+        .withColumn("graph", F.explode(F.array(*map(F.lit, edges))))
+        .withColumn("measure", F.explode(F.array(*map(F.lit, measures))))
     )
     return listed.join(
-        total, ["closed_airport", "closed_bucket", "airport", "hop"], "left"
+        total, [*scenario, "airport", "measure", "graph", "hop"], "left"
     ).select(
         *scenario,
         F.col("airport").alias("neighbor"),
         "rank",
+        "graph",
+        "measure",
         "hop",
         F.coalesce("delta", F.lit(0.0)).alias("delta"),
     )

@@ -677,31 +677,39 @@ RIPPLE_DAY = (19724 + 4) * 96  # fourth day after 2024-01-02
     sql(
         f"""
         , shut AS (SELECT airport AS a, {RIPPLE_DAY} + floor(closed_from / 15)::BIGINT AS b FROM fx_closures),
-        cut AS (SELECT a, b, sum(mean_arr_delay_min) / 8 AS x FROM shut
-                JOIN grid g ON g.airport = a AND g.bucket BETWEEN b - 6 AND b - 1 GROUP BY 1, 2),
-        one AS (SELECT a, b, src AS airport, -w*x AS delta FROM cut JOIN flow ON dst = a),
-        two AS (SELECT a, b, src AS airport, sum(w*delta) AS delta FROM one JOIN flow ON dst = airport GROUP BY 1, 2, 3),
+        m AS (SELECT airport, bucket, unnest({list(network.RIPPLE_MEASURES)}) AS measure,
+                     unnest([{", ".join(f"{c}::DOUBLE" for c in network.RIPPLE_MEASURES)}]) AS v FROM grid),
+        e AS (SELECT 'flow' AS graph, src, dst, w FROM flow
+              UNION ALL SELECT 'rotation', src, dst, w FROM rotation),
+        cut AS (SELECT a, b, measure, sum(v) / 8 AS x FROM shut
+                JOIN m ON m.airport = a AND m.bucket BETWEEN b - 6 AND b - 1 GROUP BY ALL),
+        one AS (SELECT graph, a, b, measure, src AS airport, -w*x AS delta FROM cut JOIN e ON dst = a),
+        two AS (SELECT one.graph, a, b, measure, src AS airport, sum(w*delta) AS delta
+                FROM one JOIN e ON e.dst = airport AND e.graph = one.graph GROUP BY ALL),
         top AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS rank
-                FROM flow WHERE src <> dst)
-        SELECT a AS closed_airport, b AS closed_bucket, airport AS neighbor, rank, hop,
-               {rnd('delta', 'delta')}
-        FROM (SELECT *, 1 AS hop FROM one UNION ALL SELECT *, 2 FROM two)
-        JOIN top ON src = a AND dst = airport WHERE rank <= 5
+                FROM flow WHERE src <> dst),
+        asked AS (SELECT a, b, dst AS airport, rank, unnest([1, 2]) AS hop, graph, measure
+                  FROM shut JOIN top ON src = a CROSS JOIN (VALUES ('flow'), ('rotation')) g(graph)
+                  CROSS JOIN (SELECT unnest({list(network.RIPPLE_MEASURES)}) AS measure) WHERE rank <= 5)
+        SELECT a AS closed_airport, b AS closed_bucket, airport AS neighbor, rank, graph, measure, hop,
+               {rnd('coalesce(delta, 0)', 'delta')}
+        FROM asked
+        LEFT JOIN (SELECT *, 1 AS hop FROM one UNION ALL BY NAME SELECT *, 2 AS hop FROM two)
+          USING (a, b, airport, graph, measure, hop)
         """,
         "grid",
         "flow",
+        "rotation",
         "fx_closures",
     ),
 )
 def j12(spark, sf):
     flights = fx.kept(spark, sf, "flights")
-    flow = schedule.flow_edges(flights)
+    graphs = {"flow": schedule.flow_edges(flights), "rotation": schedule.rotation_edges(flights)}
     shut = fx.closures(spark, sf).withColumn(
         "bucket", F.lit(RIPPLE_DAY) + F.floor(F.col("closed_from") / 15)
     )
-    return network.ripple(
-        dense(spark, sf), flow, shut, serving.top_neighbors(flow)
-    )
+    return network.ripple(dense(spark, sf), graphs, shut, serving.top_neighbors(graphs["flow"]))
 
 
 # --- model registry -----------------------------------------------------------------------------

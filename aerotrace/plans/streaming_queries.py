@@ -122,6 +122,20 @@ def k1a(spark, sf):
     return tracks.anomaly_stream(run_tracks(spark, sf)).drop("evidence")
 
 
+@query(
+    "k1_event_stream",
+    sql(
+        """
+        SELECT flight_id, icao24, actual_dep AS ts, 'takeoff' AS type FROM fx_legs
+        UNION ALL SELECT flight_id, icao24, actual_arr, 'landing' FROM fx_legs WHERE status = 'landed'
+        """,
+        "fx_legs",
+    ),
+)
+def k1e(spark, sf):
+    return tracks.event_feed(run_tracks(spark, sf))
+
+
 @query(
     "k2_ordered_dedupe",
     sql("SELECT icao24, ts, squawk FROM fx_reports", "fx_reports"),

@@ -352,6 +352,30 @@ def j5(spark, sf):
     return evaluation.trajectory_errors(forecast(spark, sf))
 
 
+@query(
+    "e17_training_table",
+    sql(
+        f"""
+        SELECT icao24, anchor_ts, phase, 11 AS n_steps, count(y_east_m) AS n_targets,
+               {rnd('max(CASE WHEN horizon_s = 60 THEN y_east_m END)', 'east_60_m')},
+               CASE WHEN phase = 'cruise' THEN 1e0 ELSE 0e0 END AS phase_cruise, 1e0 AS wtc_unknown
+        FROM scored GROUP BY icao24, anchor_ts, phase HAVING count(y_east_m) > 0
+        """,
+        "scored",
+    ),
+)
+def e17_training(spark, sf):
+    table = windows.training_table(wins(spark, sf))
+    near = F.filter("y", lambda t: t["east_m"].isNotNull())
+    first = F.filter("y", lambda t: t["horizon_s"] == 60)[0]["east_m"]
+    return table.select(
+        "icao24", "anchor_ts", "phase", F.size("steps").alias("n_steps"),
+        F.size(near).cast("long").alias("n_targets"), first.alias("east_60_m"),
+        F.col("phase_cruise").cast("double").alias("phase_cruise"),
+        F.col("wtc_unknown").cast("double").alias("wtc_unknown"),
+    )
+
+
 @query(
     "j7_quantile_model",
     sql(

@@ -179,10 +179,6 @@ def track_stream(reports: DataFrame, delay: str = "30 seconds", ttl_s: int = MAX
     )
 
 
-def enriched_feed(tracks: DataFrame) -> DataFrame:
-    return tracks.select(*[c.strip().split(" ")[0] for c in _OUT.split(",")][:12])
-
-
 def event_feed(tracks: DataFrame) -> DataFrame:
     """Takeoffs and closed legs, keyed by leg."""
     return tracks.where(F.col("event").isin("takeoff", "landing")).select(
