@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aerotrace.operators.spatial import with_cell
 from aerotrace.plans import fixtures as fx
+from aerotrace.plans import ingest_queries  # noqa: F401 - registers the SQL used below
 from aerotrace.plans.oracle_views import rnd, sql
 from aerotrace.plans.registry import ORACLE, query
 from aerotrace.plans.track_queries import SAMPLED_SQL
@@ -122,6 +123,18 @@ def k1a(spark, sf):
     return tracks.anomaly_stream(run_tracks(spark, sf)).drop("evidence")
 
 
+@query("k1_enriched_stream", ORACLE["e9_enrich"])
+def k1x(spark, sf):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    reports = stream(spark, fx.kept(spark, sf, "reports"))
+    feed = tracks.enriched_feed(
+        tracks.track_stream(reports), fx.registry(spark, sf), fx.perf(spark), fx.airports(spark, sf)
+    )
+    return finish(spark, feed, "enriched").select(
+        "icao24", "ts", "phase", "origin_icao", "type_code", "mass_kg"
+    )
+
+
 @query(
     "k1_event_stream",
     sql(

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from aerotrace.functions.clock import leg_id
 from aerotrace.functions.geo import cell_id
-from aerotrace.operators.spatial import PAIR_CELL_DEG
+from aerotrace.operators.spatial import PAIR_CELL_DEG, nearest_airport, with_mass, with_type
 from aerotrace.operators.tracks import (
     APPROACH_ALT_FT,
     CLIMB_FPM,
@@ -25,9 +25,13 @@ from aerotrace.operators.tracks import (
     anomaly_hits,
 )
 
-_IN = ("ts", "lat", "lon", "baro_alt_ft", "vert_rate_fpm", "on_ground", "squawk")
+_RULES = ("ts", "lat", "lon", "baro_alt_ft", "vert_rate_fpm", "on_ground", "squawk")
+# Columns that no rule reads; they are passed through, null where the source has none.
+_REST = {"geo_alt_ft": "DOUBLE", "velocity_kt": "DOUBLE", "heading_deg": "DOUBLE", "source": "STRING"}
+_IN = (*_RULES, *_REST)
 _PENDING = (
-    "us LONG, lat DOUBLE, lon DOUBLE, alt DOUBLE, vrate DOUBLE, ground BOOLEAN, squawk STRING"
+    "us LONG, lat DOUBLE, lon DOUBLE, alt DOUBLE, vrate DOUBLE, ground BOOLEAN, squawk STRING, "
+    + ", ".join(f"{c} {kind}" for c, kind in _REST.items())
 )
 _TRACK = (
     "us LONG, ground BOOLEAN, phase STRING, edge STRING, edge_us LONG, edge_lat DOUBLE, "
@@ -37,7 +41,7 @@ _OUT = (
     "icao24 STRING, ts TIMESTAMP, lat DOUBLE, lon DOUBLE, baro_alt_ft DOUBLE, "
     "vert_rate_fpm DOUBLE, on_ground BOOLEAN, squawk STRING, phase STRING, prev_phase STRING, "
     "gap BOOLEAN, sampled BOOLEAN, event STRING, leg_dep TIMESTAMP, open_dep TIMESTAMP, "
-    "open_lat DOUBLE, open_lon DOUBLE"
+    "open_lat DOUBLE, open_lon DOUBLE, " + ", ".join(f"{c} {kind}" for c, kind in _REST.items())
 )
 
 
@@ -47,7 +51,7 @@ def ordered_dedupe(reports: DataFrame, delay: str) -> DataFrame:
 
 
 def _phase(r: tuple, before: str) -> str:
-    _, _, _, alt, vrate, ground, _ = r
+    alt, vrate, ground = r[3:6]
     if ground:
         return "ground"
     if alt is None:
@@ -130,7 +134,7 @@ class TrackProcessor(StatefulProcessor):
         self.handle.registerTimer(at)
 
     def _fold(self, icao24: str, r: tuple, state: tuple | None):
-        us, lat, lon, alt, vrate, ground, squawk = r
+        us, lat, lon, alt, vrate, ground, squawk, *rest = r
         if state is not None and us - state[0] > self.ttl_ms * 1000:
             state = None
         if state is not None and us == state[0]:
@@ -156,7 +160,7 @@ class TrackProcessor(StatefulProcessor):
         row = (
             icao24, us, lat, lon, alt, vrate, ground, squawk, phase, before, gap, keep, event,
             leg_dep, edge_us if is_open else None, edge_lat if is_open else None,
-            edge_lon if is_open else None,
+            edge_lon if is_open else None, *rest,
         )
         if event is not None:
             edge, edge_us = ("takeoff" if event == "takeoff" else "landing"), us
@@ -173,12 +177,29 @@ def track_stream(reports: DataFrame, delay: str = "30 seconds", ttl_s: int = MAX
     Reports later than the watermark are dropped (Spark counts them); an aircraft not seen for
     ``ttl_s`` is forgotten. Needs the RocksDB state store.
     """
-    keyed = ordered_dedupe(reports, delay).select(KEY, *_IN)
+    rest = [
+        F.col(c) if c in reports.columns else F.lit(None).cast(kind).alias(c)
+        for c, kind in _REST.items()
+    ]
+    keyed = ordered_dedupe(reports, delay).select(KEY, *_RULES, *rest)
     return keyed.groupBy(KEY).transformWithStateInPandas(
         TrackProcessor(ttl_s), _OUT, "Append", "EventTime"
     )
 
 
+def enriched_feed(
+    tracks: DataFrame, registry: DataFrame, perf: DataFrame, airports: DataFrame
+) -> DataFrame:
+    """Every report with type, mass and the airport of the leg's takeoff, by stream-static joins."""
+    typed = with_mass(with_type(tracks, registry), perf)
+    placed = typed.select(
+        F.struct("*").alias("_report"), F.col("open_lat").alias("lat"), F.col("open_lon").alias("lon")
+    )
+    return nearest_airport(placed, airports).select(
+        "_report.*", F.col("airport").alias("origin_icao")
+    )
+
+
 def event_feed(tracks: DataFrame) -> DataFrame:
     """Takeoffs and closed legs, keyed by leg."""
     return tracks.where(F.col("event").isin("takeoff", "landing")).select(
@@ -200,7 +221,9 @@ def anomaly_stream(tracks: DataFrame) -> DataFrame:
 
 def cell_feed(tracks: DataFrame, size_deg: float = PAIR_CELL_DEG) -> DataFrame:
     """Sampled reports as messages keyed by grid cell."""
-    body = F.struct(KEY, "ts", "lat", "lon", "baro_alt_ft", "vert_rate_fpm", "on_ground")
+    body = F.struct(
+        KEY, "ts", "lat", "lon", "baro_alt_ft", "velocity_kt", "heading_deg", "vert_rate_fpm", "on_ground"
+    )
     return tracks.where("sampled").select(
         cell_id("lat", "lon", size_deg).alias("cell"), F.to_json(body).alias("value"), KEY, "ts"
     )
