@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import struct
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,6 @@ WORDS = 5
 PERCENT = 80
 ORDERS = 2
 TEXTS = 256
-TABLE = 400_000
 # A shingle of this many texts of one chunk is noted as frequent.
 FREQUENT = 4
 CHUNK = 4_000_000
@@ -28,6 +29,7 @@ LEVEL_BITS = 20  # frequency levels are kept for 2^20 hash cells, one byte each
 BLOOM_BITS = 23
 POSTINGS = 400_000  # of a bucket, about
 SET_BYTES = 6
+EXTRA = 24  # a set of n tokens must share about n / EXTRA of its prefix
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -41,39 +43,86 @@ def mix(x: np.ndarray, turn: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class Words:
+    """Hashes of the words of a byte string: polynomials modulo 2^64, from prefix sums of the bytes.
+
+    Works through the bytes in pieces that end in white space, so memory is a few arrays of one
+    piece (or of the longest word) and eight bytes a word.
+    """
+
+    def __init__(self, piece: int = 1 << 20) -> None:
+        self.piece = piece
+        self.up, self.down = _powers(_BASE, piece), _powers(_INVERSE, piece)
+
+    def hashes(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and start of every word, in order."""
+        data, at = np.frombuffer(raw, dtype=np.uint8), 0
+        values, places = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        while at < len(data):
+            end = at + self.piece
+            if end < len(data):
+                gaps = np.flatnonzero(_SPACE[data[at:end]])
+                while not len(gaps) and end < len(data):  # a word longer than the piece
+                    end += self.piece
+                    gaps = np.flatnonzero(_SPACE[data[at:end]])
+                end = at + int(gaps[-1]) + 1 if len(gaps) else len(data)
+            part = data[at:end]
+            if len(part) > len(self.up):
+                self.up, self.down = _powers(_BASE, len(part)), _powers(_INVERSE, len(part))
+            word = ~_SPACE[part]
+            edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+            first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * self.up[: len(part)], out=sums[1:])
+            values.append((sums[last] - sums[first]) * self.down[first] + (last - first).astype(np.uint64))
+            places.append(first + at)
+            at = end
+        return mix(np.concatenate(values), 2), np.concatenate(places)
+
+
 class Shingles:
-    """Sorted distinct shingle hashes of texts; words are hashed once per worker."""
+    """Sorted distinct shingle hashes of texts."""
 
     def __init__(self) -> None:
-        self.table: dict[bytes, int] = {}
+        self.words = Words()
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.table) > TABLE:
-            self.table.clear()
-        table = self.table
-        split = [t.encode().lower().split() for t in texts]
-        for word in set().union(*split) - table.keys():
-            table[word] = xxhash.xxh3_64_intdigest(word)
-        codes = np.array(list(map(table.__getitem__, chain.from_iterable(split))), dtype=np.uint64)
-        sizes = [len(w) for w in split]
+        raw = [t.encode().lower() for t in texts]
+        codes, places = self.words.hashes(b" ".join(raw))
+        starts = np.cumsum([0, *[len(r) + 1 for r in raw]])
+        bounds = np.searchsorted(places, starts).tolist()
         rolled = np.zeros(0, dtype=np.uint64)
         if len(codes) >= WORDS:
-            rolled = np.zeros(len(codes) - WORDS + 1, dtype=np.uint64)
-            for i in range(WORDS):
-                rolled = rolled * _P + codes[i : len(codes) - WORDS + 1 + i]
+            rolled = codes[: len(codes) - WORDS + 1].copy()
+            for i in range(1, WORDS):
+                rolled *= _P
+                rolled += codes[i : len(codes) - WORDS + 1 + i]
             rolled = mix(rolled)
-        out, at = [], 0
-        for n in sizes:
+        out = []
+        for start, end in zip(bounds, bounds[1:], strict=False):
+            n = end - start
             if n >= WORDS:
-                out.append(np.unique(rolled[at : at + n - WORDS + 1]))
+                tokens = np.sort(rolled[start : end - WORDS + 1])
+                out.append(tokens[np.r_[True, tokens[1:] != tokens[:-1]]])
             elif n:
-                whole = np.uint64(n)
-                for code in codes[at : at + n]:
-                    whole = np.uint64((int(whole) * int(_P) + int(code)) & 0xFFFFFFFFFFFFFFFF)
-                out.append(mix(np.array([whole]), 1))
+                whole = n
+                for code in codes[start:end].tolist():
+                    whole = (whole * int(_P) + code) & 0xFFFFFFFFFFFFFFFF
+                out.append(mix(np.array([whole], dtype=np.uint64), 1))
             else:
                 out.append(np.zeros(0, dtype=np.uint64))
-            at += n
         return out
 
 
@@ -86,9 +135,23 @@ def _shingles() -> Shingles:
     return _WORKER[0]
 
 
+def needed(n, m):
+    """Tokens that sets of sizes ``n`` and ``m`` need to share to reach the similarity."""
+    return -(-PERCENT * (n + m) // (100 + PERCENT))
+
+
+def least_met(o):
+    """Tokens that sets needing ``o`` must share among their first ``n - o + least_met(o)`` ones.
+
+    Any number up to ``o`` would be right (with 1, prefixes are shortest but let most pairs pass).
+    """
+    return 1 + o // EXTRA
+
+
 def prefix_length(n: int) -> int:
-    """Texts that reach the similarity share a token among so many first ones, in any order."""
-    return n - -(-PERCENT * n // 100) + 1
+    """Tokens of a set of size ``n`` that count for some partner: the smallest one needs least."""
+    o = -(-PERCENT * n // 100)
+    return min(n, n - o + least_met(o))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -149,110 +212,150 @@ def _rows(kind: pa.DataType, ids: list, sizes: list, names: list, levels: list)
 def _postings(levels, buckets: int):
     """Prefix tokens of every set under each order, packed by (order, bucket).
 
-    An order goes by frequency level, then by a hash of its own.
+    An order goes by frequency level, then by a hash of its own. With each token goes its place
+    in the order, with each set its size and its share of frequent tokens.
     """
 
-    def packed(names: list[int], prefixes: list[np.ndarray], order: int) -> pa.RecordBatch:
-        owner = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
+    def packed(facts: list[tuple[int, int, int]], prefixes: list[np.ndarray], order: int) -> pa.RecordBatch:
+        lengths = [len(p) for p in prefixes]
+        owner = np.repeat(np.arange(len(prefixes)), lengths)
+        place = np.concatenate([np.arange(n) for n in lengths])
         tokens = np.concatenate(prefixes)
         bucket = (tokens % np.uint64(buckets)).astype(np.int64)
         by = np.lexsort((owner, bucket))
-        owner, tokens, bucket = owner[by], tokens[by], bucket[by]
+        owner, place, tokens, bucket = owner[by], place[by], tokens[by], bucket[by]
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        all_names = np.array(names, dtype=np.int64)
-        out = {"turn": [], "bucket": [], "names": [], "counts": [], "tokens": []}
+        names, sizes, shares = (np.array(x) for x in zip(*facts, strict=True))
+        out = {c: [] for c in ("turn", "bucket", "names", "sizes", "shares", "counts", "tokens", "places")}
         for start, end in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
             who, counts = np.unique(owner[start:end], return_counts=True)
             out["turn"].append(order)
             out["bucket"].append(int(bucket[start]))
-            out["names"].append(all_names[who].tobytes())
+            out["names"].append(names[who].astype("<i8").tobytes())
+            out["sizes"].append(sizes[who].astype("<u4").tobytes())
+            out["shares"].append(shares[who].astype("u1").tobytes())
             out["counts"].append(counts.astype("<u4").tobytes())
             out["tokens"].append((tokens[start:end] >> np.uint64(32)).astype("<u4").tobytes())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(out["turn"], pa.int32()), pa.array(out["bucket"], pa.int32()), pa.array(out["names"], pa.binary()),
-             pa.array(out["counts"], pa.binary()), pa.array(out["tokens"], pa.binary())],
-            names=list(out),
-        )
+            out["places"].append(np.minimum(place[start:end], 65_535).astype("<u2").tobytes())
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
     def postings(batches):
         level = levels.value
-        seen, names, prefixes, held = set(), [], [[] for _ in range(ORDERS)], 0
-
-        def flush():
-            for order in range(ORDERS):
-                yield packed(names, prefixes[order], order)
-
+        seen, facts, prefixes, held = set(), [], [[] for _ in range(ORDERS)], 0
         for _, sets in _read(batches):
             for s in sets:
                 if not len(s) or (name := fingerprint(s)) in seen:
                     continue
                 seen.add(name)
-                names.append(name)
                 p = prefix_length(len(s))
-                rank = level[(s >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
+                rank = level[(s >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
+                facts.append((name, len(s), int(255 * np.count_nonzero(rank) / len(s))))
+                rank = rank.astype(np.uint64) << np.uint64(58)
                 for order in range(ORDERS):
                     mixed = mix(s, order + 1)
                     keys = rank | (mixed >> np.uint64(6))
-                    prefixes[order].append(mixed[np.argpartition(keys, p - 1)[:p]] if p < len(s) else mixed)
+                    least = np.argpartition(keys, p - 1)[:p] if p < len(s) else np.arange(p)
+                    prefixes[order].append(mixed[least[np.argsort(keys[least])]])
                 held += p
             if held > CHUNK // 2:
-                yield from flush()
-                names, prefixes, held = [], [[] for _ in range(ORDERS)], 0
-        if names:
-            yield from flush()
+                yield from (packed(facts, prefixes[order], order) for order in range(ORDERS))
+                facts, prefixes, held = [], [[] for _ in range(ORDERS)], 0
+        if facts:
+            yield from (packed(facts, prefixes[order], order) for order in range(ORDERS))
 
     return postings
 
 
+POSTINGS_SCHEMA = (
+    "turn int, bucket int, names binary, sizes binary, shares binary, counts binary, tokens binary, places binary"
+)
+
+
+def _partnered(sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which sets that meet in a token have a partner whose place and size allow the similarity.
+
+    For sets of sizes n and m that need to share o tokens, their first n - o + least_met(o) and
+    m - o + least_met(o) tokens count. So for a set of size n with the token at place p, the
+    partner must be of at most a certain size, and the same holds the other way round.
+    """
+    if len(sizes) <= 256:
+        o = needed(sizes[:, None], sizes[None, :])
+        least = o - least_met(o)
+        fits = (places[:, None] < sizes[:, None] - least) & (places[None, :] < sizes[None, :] - least)
+        np.fill_diagonal(fits, False)
+        return fits.any(axis=1)
+    # the largest o with place < n - o + least_met(o), and the largest partner that needs no more
+    room = sizes - places
+    o = room * EXTRA // (EXTRA - 1) + 1
+    o = np.where(o - least_met(o) < room, o, o - 1)
+    o = np.where(o - least_met(o) < room, o, o - 1)
+    top = (100 + PERCENT) * o // PERCENT - sizes
+    by = np.argsort(sizes)
+    ordered, reach = sizes[by], top[by]
+    start, end = np.searchsorted(ordered, -(-PERCENT * sizes // 100)), np.searchsorted(ordered, top, side="right")
+    out = np.zeros(len(sizes), dtype=bool)
+    for i in np.flatnonzero(end > start):
+        out[i] = np.count_nonzero(reach[start[i] : end[i]] >= sizes[i]) > (top[i] >= sizes[i])
+    return out
+
+
 def _lists(rows: pd.DataFrame) -> pd.DataFrame:
-    """The distinct sets of names that meet in a token of this bucket, each once."""
-    names = [np.frombuffer(x, dtype=np.int64) for x in rows["names"]]
-    counts = [np.frombuffer(x, dtype="<u4") for x in rows["counts"]]
-    owner = np.repeat(np.concatenate(names), np.concatenate(counts))
-    tokens = np.concatenate([np.frombuffer(x, dtype="<u4") for x in rows["tokens"]])
-    by = np.lexsort((owner, tokens))
-    owner, tokens = owner[by], tokens[by]
+    """The distinct sets of names that meet in a token of this bucket, and in how many tokens;
+    names with the largest share of frequent tokens first."""
+    read = lambda column, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in rows[column]])
+    counts = read("counts", "<u4")
+    owner, size, share = (
+        np.repeat(read(c, k), counts) for c, k in (("names", "<i8"), ("sizes", "<u4"), ("shares", "u1"))
+    )
+    tokens, place, size = read("tokens", "<u4"), read("places", "<u2").astype(np.int64), size.astype(np.int64)
+    by = np.lexsort((owner, 255 - share, tokens))
+    owner, size, place, tokens = owner[by], size[by], place[by], tokens[by]
     fresh = np.r_[True, (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])]
-    owner, tokens = owner[fresh], tokens[fresh]
+    owner, size, place, tokens = owner[fresh], size[fresh], place[fresh], tokens[fresh]
     start = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
     length = np.diff(np.r_[start, len(tokens)])
-    key = np.add.reduceat(mix(owner.view(np.uint64), 7), start)
-    many = length > 1
-    start, length, key = start[many], length[many], key[many]
-    _, one = np.unique(key, return_index=True)
+    found, times = {}, Counter()
+    for at, n in zip(start[length > 1].tolist(), length[length > 1].tolist(), strict=True):
+        met = owner[at : at + n][_partnered(size[at : at + n], place[at : at + n])]
+        if len(met) > 1:
+            key = int(mix(met.view(np.uint64), 7).sum())
+            found.setdefault(key, met)
+            times[key] += 1
     turn = int(rows["turn"].iloc[0])
+    keys = np.array(list(found), dtype=np.uint64)
     return pd.DataFrame({
-        "turn": np.full(len(one), turn, dtype=np.int32), "meeting": _signed(key[one]),
-        "names": [owner[start[i] : start[i] + length[i]] for i in one],
+        "turn": np.full(len(keys), turn, dtype=np.int32), "meeting": _signed(keys),
+        "names": pd.Series(list(found.values()), dtype=object),
+        "times": np.array([times[k] for k in found], dtype=np.int64),
     })
 
 
+def mark(name: int, key: object) -> int:
+    """``xxhash64(name, key as string)`` as the SQL function gives it."""
+    seed = xxhash.xxh64_intdigest(struct.pack("<q", name), seed=42)
+    return xxhash.xxh64_intdigest(str(key).encode(), seed=seed)
+
+
 def _sets(bloom):
-    """Sets, cut to six bytes a token, of the names that the filter lets through."""
+    """Sets, cut to six bytes a token, of the texts that the filter lets through."""
 
     def sets(batches):
-        seen = set()
+        bits, cells = bloom.value, (1 << BLOOM_BITS) - 1
         for ids, found in _read(batches):
-            out_id, out_name, out_set = [], [], []
+            names, tokens = [], []
             for key, s in zip(ids, found, strict=True):
-                if not len(s):
-                    continue
-                name = fingerprint(s)
-                cell = name & ((1 << BLOOM_BITS) - 1)
-                if bloom.value[cell >> 3] >> (cell & 7) & 1 and (name, key) not in seen:
-                    seen.add((name, key))
-                    out_id.append(key)
-                    out_name.append(name)
-                    out_set.append(s.view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :].tobytes())
-            yield out_id, out_name, out_set
-
-    def rows(batches):
-        for out_id, out_name, out_set in sets(batches):
+                if len(s):
+                    name = fingerprint(s)
+                    cell = mark(name, key) & cells
+                    if bits[cell >> 3] >> (cell & 7) & 1:
+                        names.append(name)
+                        tokens.append(s.view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out_name, pa.int64()), pa.array(out_set, pa.binary())], names=["name", "tokens"]
+                [pa.array(names, pa.int64()), pa.array(tokens, pa.binary())], names=["name", "tokens"]
             )
 
-    return rows
+    return sets
 
 
 def _tokens(raw: bytes) -> np.ndarray:
@@ -274,12 +377,32 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
-    """Pairs of names with whether they reach the similarity, from their sets."""
+def verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
+    """Pairs of names with whether they reach the similarity, from the sets of their texts."""
+    pairs = stored(spark, pairs, f"{label}-pairs")
+    if pairs.isEmpty():
+        return pairs.withColumn("linked", F.lit(False))
+    sets = stored(spark, _sets_of(spark, pairs, texts, nodes), f"{label}-sets")
     left = sets.select(F.col("name").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("name").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return stored(spark, both.mapInArrow(_verify, "a long, b long, linked boolean"), label)
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return stored(spark, both.mapInArrow(_verify, "a long, b long, linked boolean").distinct(), label)
+
+
+def _sets_of(spark: SparkSession, pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of the paired names, made from one text of each.
+
+    A bit table of fixed size keeps other texts out; a text it lets through by chance pairs with
+    nothing, or repeats a set, which does no harm.
+    """
+    ends = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
+    seal = F.xxhash64("name", F.col("rep").cast("string")).bitwiseAND((1 << BLOOM_BITS) - 1)
+    cells = nodes.join(ends, "name").select(seal.alias("cell"))
+    bit = F.call_function("shiftleft", F.lit(1), F.col("cell").bitwiseAND(7).cast("int"))
+    got = cells.groupBy(F.shiftright("cell", 3).alias("byte")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    bloom = np.zeros(1 << (BLOOM_BITS - 3), dtype=np.uint8)  # so at most 2^20 rows
+    bloom[got["byte"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
+    return texts.mapInArrow(_sets(spark.sparkContext.broadcast(bloom.tobytes())), "name long, tokens binary")
 
 
 def near_duplicate_evidence(spark: SparkSession, anomalies: DataFrame) -> DataFrame:
@@ -294,15 +417,18 @@ def near_duplicate_evidence(spark: SparkSession, anomalies: DataFrame) -> DataFr
     table gives an empty result. Shingles and sets are told apart by 64-bit hashes.
 
     Equal sets are one set from the first step on. The others are joined by prefixes: sets that
-    reach the similarity share a token among the first fifth of their tokens under every order
-    of tokens. Two orders are used; both put frequent tokens last (frequencies are counted over
-    all texts into a table of fixed size) and then go by hashes of their own. Tokens and the sets
-    that meet in them are packed by buckets, whose number grows with the input.
+    reach the similarity share some tokens among about the first fifth of their tokens under
+    every order of tokens (how many, and among how many, follows from their sizes). Two orders
+    are used; both put frequent
+    tokens last (frequencies are counted over all texts into a table of fixed size) and then go
+    by hashes of their own. Tokens and the sets that meet in them are packed by buckets, whose
+    number grows with the input.
 
     Pairs are verified in two rounds. First, of the sets that meet in a token only those with
-    the smallest name of the meeting, if the pair meets so under both orders; that joins large
-    groups of copies with as many pairs as members. Then all pairs of different components that
-    meet under both orders. Pairs within a component need no check: they change no class.
+    the most typical one (with the largest share of frequent tokens), if the pair meets so under
+    both orders; that joins large groups of copies with as many pairs as members. Then all pairs
+    of different components that share enough of their prefixes under both orders. Pairs within
+    a component need no check: they change no class.
     """
     from aerotrace.llm.token_store import spark_to_arrow
 
@@ -329,21 +455,19 @@ def near_duplicate_evidence(spark: SparkSession, anomalies: DataFrame) -> DataFr
 
     tokens = nodes.agg(F.sum(F.col("n") * (100 - PERCENT) / 100 + 1)).first()[0] or 0
     buckets = max(32, -(-int(tokens) // POSTINGS))
-    postings = texts.mapInArrow(
-        _postings(levels, buckets), "turn int, bucket int, names binary, counts binary, tokens binary"
-    )
+    postings = texts.mapInArrow(_postings(levels, buckets), POSTINGS_SCHEMA)
     lists = stored(
         spark,
         postings.groupBy("turn", "bucket")
-        .applyInPandas(_lists, "turn int, meeting long, names array<long>")
-        .dropDuplicates(["turn", "meeting"]),
+        .applyInPandas(_lists, "turn int, meeting long, names array<long>, times long")
+        .groupBy("turn", "meeting")
+        .agg(F.first("names").alias("names"), F.sum("times").alias("times")),
         "lists",
     )
 
-    sets = stored(spark, _wanted_sets(spark, texts, lists), "sets")
     members = F.slice("names", 2, F.greatest(F.size("names") - 1, F.lit(1)))
     hubs = lists.select("turn", F.get("names", F.lit(0)).alias("a"), F.explode(members).alias("b"))
-    first = verified(spark, _under_all_orders(hubs), sets, "first")
+    first = verified(spark, _under_all_orders(hubs), texts, nodes, "first")
     links = _between_reps(first, nodes)
     parts = connected_components(spark, links)
     labelled = stored(
@@ -354,7 +478,9 @@ def near_duplicate_evidence(spark: SparkSession, anomalies: DataFrame) -> DataFr
         "labelled",
     )
 
-    second = verified(spark, _across(lists, labelled).join(first.select("a", "b"), ["a", "b"], "left_anti"), sets, "second")
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_ = _across(lists, labelled).join(tried, ["a", "b"], "left_anti")
+    second = verified(spark, open_, texts, nodes, "second")
     ends = connected_components(spark, links.unionByName(_between_reps(second, nodes)))
     classes = nodes.join(ends.withColumnRenamed("id", "rep"), "rep", "left").select(
         F.col("name").alias("_name"), F.coalesce("component_id", "rep").alias("_class")
@@ -364,24 +490,6 @@ def near_duplicate_evidence(spark: SparkSession, anomalies: DataFrame) -> DataFr
     )
 
 
-def _wanted_sets(spark: SparkSession, texts: DataFrame, lists: DataFrame) -> DataFrame:
-    """The sets of all names that meet another, once each.
-
-    A bit table of fixed size keeps most other texts out before the shuffle.
-    """
-    wanted = lists.select(F.explode("names").alias("name")).distinct()
-    cell = F.col("name").bitwiseAND((1 << BLOOM_BITS) - 1)
-    bytes_ = wanted.groupBy(F.shiftright(cell, 3).alias("byte")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1), cell.bitwiseAND(7).cast("int"))).alias("bits")
-    )
-    bloom = np.zeros(1 << (BLOOM_BITS - 3), dtype=np.uint8)
-    got = bytes_.toPandas()  # at most 2^20 rows
-    bloom[got["byte"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
-    shared = spark.sparkContext.broadcast(bloom.tobytes())
-    found = texts.mapInArrow(_sets(shared), "name long, tokens binary")
-    return found.join(wanted, "name", "left_semi").groupBy("name").agg(F.first("tokens").alias("tokens"))
-
-
 def _under_all_orders(pairs: DataFrame) -> DataFrame:
     """``a, b`` of pairs that occur with every order."""
     met = pairs.groupBy("a", "b").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("turn"))).alias("met"))
@@ -389,17 +497,59 @@ def _under_all_orders(pairs: DataFrame) -> DataFrame:
 
 
 def _across(lists: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Pairs of different parts that meet under every order and whose sizes allow the similarity."""
-    rows = lists.select("turn", "meeting", F.explode("names").alias("name")).join(labelled, "name")
-    mixed = rows.groupBy("turn", "meeting").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
-    rows = rows.join(mixed.select("turn", "meeting"), ["turn", "meeting"], "left_semi")
-    a = rows.select("turn", "meeting", F.col("name").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"))
-    b = rows.select("turn", "meeting", F.col("name").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"))
-    pairs = a.join(b, ["turn", "meeting"]).where(
-        (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b"))
-        & (F.lit(100) * F.least("n_a", "n_b") >= F.lit(PERCENT) * F.greatest("n_a", "n_b"))
-    )
-    return _under_all_orders(pairs.select("turn", "a", "b"))
+    """Pairs of different parts that share enough prefix tokens under every order.
+
+    Each set gets the members of all its meetings, as arrays, and the tokens shared with each
+    are counted there; only pairs that pass every filter become rows.
+    """
+    rows = lists.select("turn", "meeting", "times", F.explode("names").alias("name")).join(labelled, "name")
+    met = rows.groupBy("turn", "meeting", "times").agg(
+        F.min("part").alias("lo"), F.max("part").alias("hi"), F.collect_list(F.struct("name", "part", "n")).alias("members")
+    ).where("lo <> hi")
+    split = lambda c: F.transform("members", lambda m: m[c]).alias(f"{c}s")
+    each = met.select("turn", "times", F.explode("members").alias("m"), split("name"), split("part"), split("n"))
+    each = each.select("m.name", "m.part", "m.n", "turn", "times", "names", "parts", "ns")
+    lined_up = each.repartition("name").sortWithinPartitions("name")
+    return lined_up.mapInArrow(_count_met, "a long, b long")
+
+
+def _count_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one set lie together; the last set of a batch is held back for the next one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column(0).to_numpy()
+        last = int(np.flatnonzero(names == names[-1])[0])
+        if last or (held and held[-1].column(0)[0].as_py() != names[0]):
+            whole = [*held, batch.slice(0, last)] if last else held
+            held = []
+            yield _pairs_met(whole)
+        held.append(batch.slice(last))
+    if held:
+        yield _pairs_met(held)
+
+
+def _pairs_met(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    lists = table["names"].combine_chunks()
+    lengths = lists.value_lengths().to_numpy()
+    own = lambda c: np.repeat(table[c].to_numpy(), lengths)
+    flat = lambda c: table[c].combine_chunks().flatten()
+    a, b, n, m = own("name"), flat("names").to_numpy(), own("n"), flat("ns").to_numpy()
+    part = pa.compute.dictionary_encode(pa.concat_arrays([flat("parts"), table["part"].combine_chunks()])).indices.to_numpy()
+    apart = part[: len(b)] != np.repeat(part[len(b) :], lengths)
+    fits = apart & (a < b) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+    a, b, n, m, turn, times = (x[fits] for x in (a, b, n, m, own("turn"), own("times")))
+    by = np.lexsort((b, a))
+    a, b, n, m, turn, times = (x[by] for x in (a, b, n, m, turn, times))
+    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, dtype=int)
+    o = needed(n[start], m[start])
+    keep = np.ones(len(start), dtype=bool)
+    for order in range(ORDERS):
+        shared = np.add.reduceat(np.where(turn == order, times, 0), start) if len(start) else start
+        keep &= shared >= least_met(o)
+    return pa.RecordBatch.from_arrays([pa.array(a[start][keep]), pa.array(b[start][keep])], names=["a", "b"])
 
 
 def _between_reps(checked: DataFrame, nodes: DataFrame) -> DataFrame:

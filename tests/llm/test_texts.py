@@ -139,10 +139,36 @@ def test_near_duplicates_by_string_id(spark):
     assert sorted(map(tuple, got.collect())) == sorted(near_duplicates(rows))
 
 
-def test_prefix_length_keeps_all_links():
-    for n in range(1, 400):
-        least = next(k for k in range(n + 1) if 100 * k >= 80 * n)  # shared tokens at a similarity of 0.8
-        assert shingle_join.prefix_length(n) == n - least + 1
+def test_prefixes_of_linked_sets_share_enough():
+    """Sets at the similarity, as they are and in the worst order, against the prefix rule."""
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 60), 97, 240, 600]:
+        for m in {n, -(-8 * n // 10), (8 * n // 10 + n) // 2}:
+            o = shingle_join.needed(n, m)
+            if 100 * o < 80 * (n + m - o) or o > min(n, m):
+                continue
+            shared = rng.permutation(10_000)[:o]
+            rest = rng.permutation(np.arange(10_000, 20_000))[: n + m - 2 * o]
+            for late in (0, 20_000):  # shared tokens anywhere, or after all others
+                x = np.sort(np.r_[shared + late, rest[: n - o]])
+                y = np.sort(np.r_[shared + late, rest[n - o :]])
+                met = shingle_join.least_met(o)
+                both = np.intersect1d(x[: n - o + met], y[: m - o + met])
+                assert len(both) >= met
+                assert n - o + met <= shingle_join.prefix_length(n)
+                assert m - o + met <= shingle_join.prefix_length(m)
+
+
+def test_large_meetings_keep_whom_the_pairwise_rule_keeps():
+    rng = np.random.default_rng(8)
+    sizes, places = rng.integers(20, 900, 400), rng.integers(0, 150, 400)
+    o = shingle_join.needed(sizes[:, None], sizes[None, :])
+    least = o - shingle_join.least_met(o)
+    fits = (places[:, None] < sizes[:, None] - least) & (places[None, :] < sizes[None, :] - least)
+    np.fill_diagonal(fits, False)
+    ratio = 100 * np.minimum(sizes[:, None], sizes) >= 80 * np.maximum(sizes[:, None], sizes)
+    kept = shingle_join._partnered(sizes, places)
+    assert kept[(fits & ratio).any(axis=1)].all()
 
 
 def test_word_hashes_do_not_depend_on_pieces():
