@@ -637,7 +637,7 @@ def i4(spark, sf):
 
 
 def near_sql() -> str:
-    """Error of every forecast against each report within the tolerance of its due time."""
+    """Error of every forecast against the report nearest to its due time, within the tolerance."""
     e = east("t.lat", "t.lon", "a.lat", "a.lon")
     n = north("t.lat", "t.lon", "a.lat", "a.lon")
     error = f"sqrt(pow(pred_east_m - {e}, 2) + pow(pred_north_m - {n}, 2)) / 1000"
@@ -648,6 +648,8 @@ def near_sql() -> str:
         FROM cv c JOIN num a ON a.icao24 = c.icao24 AND a.i = c.i
         JOIN num t ON t.icao24 = c.icao24
          AND abs(epoch_ms(t.ts) - epoch_ms(a.ts) - horizon_s*1000) <= 3000
+        QUALIFY row_number() OVER (PARTITION BY c.icao24, c.anchor_ts, horizon_s
+          ORDER BY abs(epoch_ms(t.ts) - epoch_ms(a.ts) - horizon_s*1000), t.ts) = 1
         """,
         "cv",
         "num",
