@@ -6,6 +6,8 @@ per (user, day) with carried counts: no user's events meet in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,15 +191,18 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def kept(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view as a stored table, written once per session.
+def kept(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame] | None = None
+) -> DataFrame:
+    """A derived view as a stored table, written once per session and used by all queries.
 
     The reference reads flights and reports from tables; plans that use them several times
-    should not derive them again each time.
+    should not derive them again each time. ``build`` makes other tables than those two.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        _STORED[key] = stored(spark, {"flights": flights, "reports": reports}[name](spark, sf_dir), name)
+        made = build() if build else {"flights": flights, "reports": reports}[name](spark, sf_dir)
+        _STORED[key] = stored(spark, made, name)
     return _STORED[key]
 
 

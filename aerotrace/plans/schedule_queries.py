@@ -10,7 +10,6 @@ from aerotrace.operators.tracks import flight_rows, track_states
 from aerotrace.plans import fixtures as fx
 from aerotrace.plans.oracle_views import mins, rnd, sql, view
 from aerotrace.plans.registry import query
-from aerotrace.session import stored
 
 # --- SQL views ---------------------------------------------------------------------------------
 
@@ -267,7 +266,7 @@ _GRID = (
 
 def dense(spark, sf):
     """The grid as a stored table, for plans that read it several times."""
-    return stored(spark, network.dense_grid(fx.kept(spark, sf, "flights")), "grid")
+    return fx.kept(spark, sf, "grid", lambda: network.dense_grid(fx.kept(spark, sf, "flights")))
 
 
 @query("d6_dense_grid", sql(f"SELECT {_GRID} FROM grid", "grid"))

@@ -10,7 +10,6 @@ from aerotrace.operators.tracks import label_segments
 from aerotrace.plans import fixtures as fx
 from aerotrace.plans.oracle_views import VIEWS, bearing, east, hav, north, rnd, sql, turn, view
 from aerotrace.plans.registry import query
-from aerotrace.session import stored
 
 HORIZONS = windows.HORIZONS_S
 RESAMPLED = 128
@@ -329,11 +328,14 @@ def e17(spark, sf):
 
 def forecast(spark, sf):
     """Point forecasts with targets and fold, stored: the fit and the scoring both read it."""
-    w = windows.window_features(wins(spark, sf))
-    points = evaluation.with_targets(windows.constant_velocity(w, HORIZONS)).drop(
-        "points", "targets", "steps"
-    )
-    return evaluation.chronological_split(stored(spark, points, "forecast"), "anchor_ts")
+
+    def points():
+        w = windows.window_features(wins(spark, sf))
+        return evaluation.with_targets(windows.constant_velocity(w, HORIZONS)).drop(
+            "points", "targets", "steps"
+        )
+
+    return evaluation.chronological_split(fx.kept(spark, sf, "forecast", points), "anchor_ts")
 
 
 @query(
@@ -607,8 +609,11 @@ view(
 def conflict_inputs(spark, sf):
     """Reports and fitted model as stored tables: the composition reads both several times."""
     reports = fx.kept(spark, sf, "reports")
-    model = evaluation.quantile_model(forecast(spark, sf).where("fold = 'train'"))
-    return reports, stored(spark, model, "model")
+    model = fx.kept(
+        spark, sf, "model",
+        lambda: evaluation.quantile_model(forecast(spark, sf).where("fold = 'train'")),
+    )
+    return reports, model
 
 
 @query(
