@@ -365,3 +365,59 @@ def test_ranking_one_class_is_null(spark):
     df = spark.createDataFrame([(0.1, False), (0.2, False)], "score double, label boolean")
     r = evaluation.ranking_metrics(df).first()
     assert r.pr_auc is None and r.precision_at_k is None
+
+
+# --- cases at the borders -----------------------------------------------------------------------
+
+
+def test_equal_points_stay_rows_and_the_date_line_is_no_border(spark):
+    points = spark.createDataFrame([(0.1, 179.99), (0.1, 179.99), (0.1, 0.0)], "lat double, lon double")
+    ports = spark.createDataFrame([("AAAA", 0.1, -179.98), ("BBBB", 0.15, 179.5)], "icao string, lat double, lon double")
+    got = sorted(spatial.nearest_airport(points, ports).collect())
+    assert [(r.lon, r.airport) for r in got] == [(0.0, None), (179.99, "AAAA"), (179.99, "AAAA")]
+    craft = spark.createDataFrame(
+        [("a", 10.0, 179.99, 30000.0), ("b", 10.0, -179.99, 30500.0), ("c", 10.0, 0.0, 30000.0)],
+        "icao24 string, lat double, lon double, alt_ft double",
+    )
+    pairs = spatial.candidate_pairs(craft).collect()
+    assert [(r.icao24_a, r.icao24_b) for r in pairs] == [("a", "b")]
+    with pytest.raises(ValueError):
+        geo.cell_column("lon", 0.7)
+
+
+def test_rows_without_a_time_have_no_fold(spark):
+    rows = spark.createDataFrame([(at(s),) for s in range(0, 100, 10)] + [(None,)], "ts timestamp")
+    folds = {r.ts: r.fold for r in evaluation.chronological_split(rows, "ts").collect()}
+    assert folds[None] is None and folds[at(90)] == "test" and folds[at(0)] == "train"
+    grid = spark.createDataFrame([(b,) for b in range(20)] + [(None,)], "bucket long")
+    assert evaluation.bucket_split(grid).where("bucket is null").first().fold is None
+
+
+def test_unseen_phase_takes_the_pooled_quantiles(spark):
+    cols = "horizon_s int, phase string, " + ", ".join(f"pred_{a} double, y_{a} double" for a in evaluation.AXES)
+    train = [(60, p, *[v for _ in evaluation.AXES for v in (0.0, float(k))]) for p in ("climb", "cruise") for k in range(11)]
+    model = evaluation.quantile_model(spark.createDataFrame(train, cols))
+    asked = [(60, "climb"), (60, "descent"), (300, "climb")]
+    points = spark.createDataFrame([(h, p, *[0.0] * 6) for h, p in asked], cols)
+    got = {(r.horizon_s, r.phase): (r.q10_east_m, r.q90_east_m) for r in evaluation.apply_quantiles(points, model).collect()}
+    assert got[60, "climb"] == got[60, "descent"] == (1.0, 9.0)
+    assert got[300, "climb"] == (None, None)
+
+
+def test_months_with_other_headers_are_refused(spark, tmp_path):
+    from aerotrace.schemas import ONTIME_COLUMNS
+    from aerotrace.sources import readers
+
+    names = [c for c, _, _ in ONTIME_COLUMNS]
+    other = [*names[:4], names[5], names[4], *names[6:]]
+    for i, header in enumerate((names, other)):
+        (tmp_path / f"{i}.csv").write_text(",".join(header) + "\n" + ",".join(["2024-01-01"] * len(header)) + "\n")
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        readers.read_ontime(spark, [str(tmp_path / "0.csv"), str(tmp_path / "1.csv")]).collect()
+
+
+def test_cells_of_any_number_and_no_default_limits(spark):
+    rows = spark.createDataFrame([(f"a{i}", f"{i}:0") for i in range(900)], "icao24 string, cell string")
+    cells = [f"{i}:0" for i in range(700)]
+    assert spatial.in_cells(rows, cells).count() == 700
+    assert spatial.in_cells(rows, spark.createDataFrame([(c,) for c in cells], "cell string")).count() == 700
