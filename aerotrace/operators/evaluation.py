@@ -257,13 +257,17 @@ def score_predictions(pred: DataFrame, truth: DataFrame, tol_s: int = 3) -> Data
     )
 
 
-def ranking_metrics(df: DataFrame, score: str = "score", label: str = "label", bins: int = 128) -> DataFrame:
+def ranking_metrics(
+    df: DataFrame, score: str = "score", label: str = "label", bins: int | None = None
+) -> DataFrame:
     """Average precision and precision at k = number of positives; null if one class only.
 
     Scores are counted per distinct value, cut into quantile bins, and the bins' counts are
-    carried, so no task sees the whole ranking. Equal scores count as one threshold; if the
+    carried, so no task sees the whole ranking; there are several bins to each shuffle partition.
+    Equal scores count as one threshold; if the
     k-th place falls inside a tie the tied rows count with their share.
     """
+    bins = bins or max(128, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     base = df.select(F.col(score).alias("s"), F.col(label).cast("int").alias("l")).withColumn(
         "_all", F.lit(1)
     )
