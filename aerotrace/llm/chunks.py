@@ -8,7 +8,8 @@ from itertools import chain
 import numpy as np
 
 # Entries kept per worker; a full table is emptied, which costs time but changes no result.
-LIMIT = 500_000
+LIMIT = 1_500_000
+PIECE_LIMIT = 300_000
 BLOCK_WORDS = 4_096
 _BY_MODEL: dict[tuple[str, int], object] = {}
 
@@ -145,7 +146,7 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Ids of each text as little-endian 32-bit integers, and the text they decode to."""
-        if len(self.table) > LIMIT:
+        if len(self.table) > PIECE_LIMIT:
             self.table.clear()
             self.changed.clear()
         split = [t.split(" ") if self.by_word and self.MARK not in t else [""] for t in texts]

@@ -20,7 +20,7 @@ LATENT = 48
 NEIGHBOURS = 15
 THRESHOLD = 0.3
 TEXTS = 256
-TABLE = 400_000
+TABLE = 250_000
 _SHAPE = re.compile(r"(?P<U>[^\W\d_a-z]*[A-Z][^\W\d_a-z]*)|(?P<L>[^\W\d_]+)|(?P<N>\d+)|(?P<D>[.,;:?!'\"-]+)|(?P<S>[\W_]+)")
 
 
