@@ -119,3 +119,29 @@ def test_licences_are_found_and_confirmed(spark):
 def test_licences_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert licences.scan_licences(spark, empty).count() == 0
+
+
+def test_licences_across_lines_and_by_identifier(spark):
+    filler = "the quick aircraft climbs over quiet fields at noon while engines hum and crews talk about weather ahead"
+    gpl = (
+        "This program is free software: you can redistribute it and/or modify\n"
+        "it under the terms of the GNU General Public License as published by\r\n"
+        "the Free Software Foundation, either version 3 of the License, or\n"
+        "(at your option) any later version."
+    )
+    known = {
+        1: ("All rights reserved.", "Proprietary"),
+        2: (gpl, "GPL"),
+        3: ("SPDX-License-Identifier: MIT", "MIT"),
+        4: ("SPDX-License-Identifier: Apache-2.0", "Apache"),
+        5: ("SPDX-License-Identifier: CC-BY-NC-4.0", "CC-BY-NC"),
+        6: ("Distributed under the Boost Software License,\nVersion 1.0.", "Boost"),
+    }
+    rows = [(k, f"{filler}\n{filler} {k}\n{line}\n{filler}") for k, (line, _) in known.items()]
+    rows += [(10, f"{filler}\nSPDX-License-Identifier: Acme-7\n"), (11, "all rights and duties of the crew"), (12, filler)]
+    rows += [(20 + i, f"{filler} {i}\nreport {i} of {filler[i : i + 40]}") for i in range(60)]
+    found = {r["doc_id"]: r for r in licences.scan_licences(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (_, family) in known.items():
+        assert (k, found[k]["families"], found[k]["n_licensed"]) == (k, [family], 1)
+    assert all(r["family"] is None for k, r in found.items() if k > 6)
+    assert found[2]["n_paragraphs"] == 7
