@@ -29,6 +29,8 @@ LEVEL_BITS = 20  # frequency levels are kept for 2^20 hash cells, one byte each
 BLOOM_BITS = 23
 POSTINGS = 400_000  # of a bucket, about
 SET_BYTES = 6
+BLOCK = 1 << 20  # pairs of a meeting looked at together
+LISTED = 256  # partners in a row, at most
 EXTRA = 24  # a set of n tokens must share about n / EXTRA of its prefix
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -294,10 +296,29 @@ def _partnered(sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
     by = np.argsort(sizes)
     ordered, reach = sizes[by], top[by]
     start, end = np.searchsorted(ordered, -(-PERCENT * sizes // 100)), np.searchsorted(ordered, top, side="right")
-    out = np.zeros(len(sizes), dtype=bool)
-    for i in np.flatnonzero(end > start):
-        out[i] = np.count_nonzero(reach[start[i] : end[i]] >= sizes[i]) > (top[i] >= sizes[i])
-    return out
+    own = np.empty(len(by), dtype=np.int64)
+    own[by] = np.arange(len(by))
+    best = _range_max(reach)
+    left, right = best(start, np.minimum(end, own)), best(np.maximum(start, own + 1), end)
+    return np.maximum(left, right) >= sizes
+
+
+def _range_max(x: np.ndarray):
+    """Largest values of many ranges of ``x``, -1 of an empty one, from those of all powers of two."""
+    table = [x]
+    while 2 << (len(table) - 1) <= len(x):
+        half = 1 << (len(table) - 1)
+        table.append(np.maximum(table[-1][:-half], table[-1][half:]))
+
+    def best(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.full(len(start), -1, dtype=x.dtype)
+        level = np.frexp(np.maximum(end - start, 1).astype(float))[1] - 1
+        for k, largest in enumerate(table):
+            rows = np.flatnonzero((end > start) & (level == k))
+            out[rows] = np.maximum(largest[start[rows]], largest[end[rows] - (1 << k)])
+        return out
+
+    return best
 
 
 def _lists(rows: pd.DataFrame) -> pd.DataFrame:
@@ -499,20 +520,74 @@ def _under_all_orders(pairs: DataFrame) -> DataFrame:
 def _across(lists: DataFrame, labelled: DataFrame) -> DataFrame:
     """Pairs of different parts that share enough prefix tokens under every order.
 
-    Each set gets the members of all its meetings, as arrays, and the tokens shared with each
-    are counted there; only pairs that pass every filter become rows.
+    Of every meeting, each set gets the members of other parts with a larger name and a fitting
+    size, in arrays of bounded length; members of one part are never put together. The tokens
+    shared with each are counted per set; only pairs that pass every filter become rows.
     """
     rows = lists.select("turn", "meeting", "times", F.explode("names").alias("name")).join(labelled, "name")
     met = rows.groupBy("turn", "meeting", "times").agg(
         F.min("part").alias("lo"), F.max("part").alias("hi"), F.collect_list(F.struct("name", "part", "n")).alias("members")
     ).where("lo <> hi")
-    split = lambda c: F.transform("members", lambda m: m[c]).alias(f"{c}s")
-    each = met.select("turn", "times", F.explode("members").alias("m"), split("name"), split("part"), split("n"))
-    each = each.select("m.name", "m.part", "m.n", "turn", "times", "names", "parts", "ns")
+    split = [F.col(f"members.{c}").alias(f"{c}s") for c in ("name", "part", "n")]
+    each = met.select("turn", "times", *split).mapInArrow(
+        _fitting, "name long, n long, turn int, times long, names array<long>, ns array<long>"
+    )
     lined_up = each.repartition("name").sortWithinPartitions("name")
     return lined_up.mapInArrow(_count_met, "a long, b long")
 
 
+def _apart(names: np.ndarray, parts: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places ``a, b`` of members of different parts whose sizes allow the similarity.
+
+    Those outside the largest part are compared with all, so the work is about the number of
+    pairs of different parts, at most twice that.
+    """
+    by = np.argsort(n, kind="stable")
+    largest = np.bincount(parts).argmax()
+    outside = by[parts[by] != largest]
+    ordered = n[by]
+    step = max(1, BLOCK // len(names))
+    for at in range(0, len(outside), step):
+        some = outside[at : at + step]
+        lo = np.searchsorted(ordered, -(-PERCENT * n[some[0]] // 100))
+        hi = np.searchsorted(ordered, 100 * n[some[-1]] // PERCENT, side="right")
+        others = by[lo:hi]
+        x, y = n[some][:, None], n[others][None, :]
+        fits = (parts[some][:, None] != parts[others][None, :]) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y))
+        # two members outside are met from both sides
+        fits &= (parts[others] == largest)[None, :] | (names[some][:, None] < names[others][None, :])
+        r, c = np.nonzero(fits)
+        a, b = some[r], others[c]
+        swap = names[a] > names[b]
+        yield np.where(swap, b, a), np.where(swap, a, b)
+
+
+def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Meetings to rows of one set and its partners there."""
+    columns = ["name", "n", "turn", "times", "names", "ns"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    for batch in batches:
+        out, held = [[] for _ in columns], 0
+        for i in range(batch.num_rows):
+            turn, times = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            names, n = batch.column(2)[i].values.to_numpy(), batch.column(4)[i].values.to_numpy()
+            parts = pa.compute.dictionary_encode(batch.column(3)[i].values).indices.to_numpy(zero_copy_only=False)
+            for a, b in _apart(names, parts, n):
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], b[order]
+                new = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, dtype=int)
+                for start, end in zip(new.tolist(), [*new[1:].tolist(), len(a)], strict=False):
+                    for cut in range(start, end, LISTED):
+                        some = b[cut : min(end, cut + LISTED)]
+                        for column, value in zip(out, (names[a[cut]], n[a[cut]], turn, times, names[some], n[some]), strict=True):
+                            column.append(value)
+                        held += len(some)
+                if held > BLOCK:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=columns)
+                    out, held = [[] for _ in columns], 0
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=columns)
+
+
 def _count_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one set lie together; the last set of a batch is held back for the next one."""
     held: list[pa.RecordBatch] = []
@@ -537,10 +612,7 @@ def _pairs_met(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     own = lambda c: np.repeat(table[c].to_numpy(), lengths)
     flat = lambda c: table[c].combine_chunks().flatten()
     a, b, n, m = own("name"), flat("names").to_numpy(), own("n"), flat("ns").to_numpy()
-    part = pa.compute.dictionary_encode(pa.concat_arrays([flat("parts"), table["part"].combine_chunks()])).indices.to_numpy()
-    apart = part[: len(b)] != np.repeat(part[len(b) :], lengths)
-    fits = apart & (a < b) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
-    a, b, n, m, turn, times = (x[fits] for x in (a, b, n, m, own("turn"), own("times")))
+    turn, times = own("turn"), own("times")
     by = np.lexsort((b, a))
     a, b, n, m, turn, times = (x[by] for x in (a, b, n, m, turn, times))
     start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, dtype=int)

@@ -213,3 +213,37 @@ def test_quality_without_labels_or_rows(spark):
     got = evidence_quality.classify_evidence(spark, frame(spark, [(1, "a"), (2, None)]), none).collect()
     assert {r["score"] for r in got} == {0.5}
     assert evidence_quality.classify_evidence(spark, frame(spark, []), none).count() == 0
+
+
+def test_members_of_one_component_never_meet():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    names, n = rng.permutation(2_000).astype(np.int64), rng.integers(80, 120, 2_000)
+    parts = np.where(np.arange(2_000) < 1_990, 0, np.arange(2_000))
+    got = [p for a, b in shingle_join._apart(names, parts, n) for p in zip(names[a].tolist(), names[b].tolist(), strict=True)]
+    x, y = n[:, None], n[None, :]
+    fits = (parts[:, None] != parts[None, :]) & (100 * np.minimum(x, y) >= 80 * np.maximum(x, y)) & (names[:, None] < names[None, :])
+    want = {(int(names[i]), int(names[j])) for i, j in zip(*np.nonzero(fits), strict=True)}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_partners_of_many_sets_in_one_token():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sizes, places = rng.integers(5, 4_000, 700), rng.integers(0, 300, 700)
+    places = np.minimum(places, sizes - 1)
+    o = shingle_join.needed(sizes[:, None], sizes[None, :])
+    least = o - shingle_join.least_met(o)
+    fits = (places[:, None] < sizes[:, None] - least) & (places[None, :] < sizes[None, :] - least)
+    np.fill_diagonal(fits, False)
+    near = 100 * np.minimum(sizes[:, None], sizes[None, :]) >= 80 * np.maximum(sizes[:, None], sizes[None, :])
+    got = shingle_join._partnered(sizes, places)
+    assert got[(fits & near).any(axis=1)].all() and not got[~fits.any(axis=1)].any()
+    start = time.perf_counter()
+    many = 200_000
+    shingle_join._partnered(np.full(many, 200), np.zeros(many, dtype=np.int64))
+    assert time.perf_counter() - start < 5
