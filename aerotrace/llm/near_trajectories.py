@@ -177,6 +177,17 @@ class SmallWorld:
                 rest, width = np.concatenate(again), min(2 * width, len(self.x))
         return np.concatenate(out_q), np.concatenate(out_n)
 
+    def nearest(self, q: np.ndarray, beam: int) -> np.ndarray:
+        """The ``beam`` best nodes met by each query, in input order; -1 where there are fewer."""
+        width = min(beam, len(self.x))
+        part = max(16, STEP * 64 // max(64, width))
+        out = []
+        for at in range(0, len(q), part):
+            some = q[at : at + part]
+            ids = self._beam(self.layers[-1], some, self._descend(some, len(self.x)), width)[0]
+            out.append(np.where(ids >= 0, self.order[ids], -1))
+        return np.concatenate(out)
+
 
 def _once(ids: np.ndarray) -> np.ndarray:
     """Each row without repeats; freed places are -1."""
@@ -190,22 +201,53 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def audited(graph: SmallWorld, shard: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def audited(
+    graph: SmallWorld, shard: np.ndarray, q: np.ndarray, least: float, same: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
     """Links from ``q`` into the shard. An audit of evenly spaced queries against all of the shard
-    doubles the beam until it finds ``RECALL`` of their links; a beam as wide as the shard ends it.
+    doubles the beam until it finds ``RECALL`` of their links, as a mean over queries with links,
+    and the same share of their nearest vectors, which always exist. From a beam of an eighth of the
+    shard on, all are compared instead, which is exact and costs less. The queries that have links by the search are audited as well, at most as many.
+
+    ``same`` says that the queries are the shard: none counts as its own link or neighbour.
     """
-    beam = BEAM
-    sample = np.unique(np.linspace(0, len(q) - 1, min(AUDIT_ROWS, len(q))).astype(int))
-    true = q[sample] @ shard.T >= least
-    while True:
-        found = graph.within(q.astype(np.float32), least - SLACK, beam)
+    beam, single = BEAM, q.astype(np.float32)
+    even = np.unique(np.linspace(0, len(q) - 1, min(AUDIT_ROWS, len(q))).astype(int))
+    nearest = q[even] @ shard.T
+    if same:
+        nearest[np.arange(len(even)), even] = -np.inf
+    while 8 * beam < len(shard) and _nearest_met(graph, single[even], nearest, beam) < RECALL:
+        beam *= 2
+    while 8 * beam < len(shard):
+        found = graph.within(single, least - SLACK, beam)
+        linked = np.unique(found[0][found[0] != found[1]] if same else found[0])
+        linked = linked[np.unique(np.linspace(0, len(linked) - 1, min(AUDIT_ROWS, len(linked))).astype(int))]
+        sample = np.union1d(even, linked).astype(int)
+        near = q[sample] @ shard.T
+        if same:
+            near[np.arange(len(sample)), sample] = -np.inf
+        true = near >= least
         met = np.zeros_like(true)
         at = np.searchsorted(sample, found[0]).clip(max=len(sample) - 1)
         hit = sample[at] == found[0]
         met[at[hit], found[1][hit]] = True
-        if beam >= len(shard) or (met & true).sum() >= RECALL * true.sum():
+        some = true.any(axis=1)
+        shares = (met & true)[some].sum(axis=1) / true[some].sum(axis=1)
+        fine = shares.mean() >= RECALL if len(shares) else True
+        if fine and _nearest_met(graph, single[sample], near, beam) >= RECALL:
             return found
         beam *= 2
+    blocks = [np.nonzero(q[at : at + STEP] @ shard.T >= least - SLACK) for at in range(0, len(q), STEP)]
+    return (
+        np.concatenate([r + i * STEP for i, (r, _) in enumerate(blocks)]), np.concatenate([c for _, c in blocks])
+    )
+
+
+def _nearest_met(graph: SmallWorld, q: np.ndarray, near: np.ndarray, beam: int) -> float:
+    """Share of the queries whose search meets a vector as near as their nearest one."""
+    ids = graph.nearest(q, beam)
+    met = np.where(ids >= 0, np.take_along_axis(near, ids.clip(min=0), axis=1), -np.inf).max(axis=1)
+    return float((met >= near.max(axis=1) - SLACK).mean())
 
 
 def _forest(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -239,7 +281,7 @@ def _meet(least: float):
         graph = pickle.loads(graphs["graph"].iloc[0])
         same = key[1] == key[2]
         other_ids, other_n, other = (ids, n, unit) if same else pickle.loads(others["points"].iloc[0])
-        a, b = audited(graph, unit, other, least)
+        a, b = audited(graph, unit, other, least, same)
         exact = np.concatenate(
             [np.einsum("ij,ij->i", other[a[i : i + 65536]], unit[b[i : i + 65536]]) for i in range(0, len(a), 65536)]
             or [np.zeros(0)]

@@ -99,3 +99,18 @@ def test_components_of_random_links(spark, seed):
     got = connected_components(spark, spark.createDataFrame(links, "a long, b long"))
     assert {r["id"]: r["component_id"] for r in got.collect()} == {x: c for x, c in up.items() if x != c}
     assert connected_components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_audit_sees_missed_sparse_pairs():
+    from aerotrace.llm.near_trajectories import SmallWorld, audited
+
+    rng = np.random.default_rng(11)
+    shard, q = rng.normal(size=(4_000, 64)), rng.normal(size=(4_000, 64))
+    paired = rng.permutation(4_000)[:20]
+    q[paired] = shard[paired[::-1]] + 0.25 * rng.normal(size=(20, 64))
+    shard, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (shard, q))
+    want = set(zip(*(x.tolist() for x in np.nonzero(q @ shard.T >= 0.9)), strict=True))
+    graph = SmallWorld(shard)
+    graph.layers[-1][graph.layers[-1] >= 2_000] = -1  # half of the nodes cannot be reached
+    got = set(zip(*(x.tolist() for x in audited(graph, shard, q, 0.9)), strict=True))
+    assert len(want) == 20 and want <= got
