@@ -24,6 +24,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-SF_DIR = "/root/testdata/sf0.001"

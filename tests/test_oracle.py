@@ -10,7 +10,7 @@ import os
 import pytest
 from aerotrace.plans import catalog
 
-from conftest import SF_DIR
+from paths import SF_DIR
 from oracle_check import compare, connect
 
 SOME = (

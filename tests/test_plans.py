@@ -8,7 +8,7 @@ from aerotrace.plans import catalog
 from aerotrace.plans import fixtures as fx
 from aerotrace.sources import archive
 
-from conftest import SF_DIR
+from paths import SF_DIR
 
 
 def plan(df) -> str:

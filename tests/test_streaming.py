@@ -11,7 +11,7 @@ from aerotrace.sources import log
 from aerotrace.streaming import tracks
 from pyspark.sql import functions as F
 
-from conftest import SF_DIR
+from paths import SF_DIR
 
 SCHEMA = (
     "icao24 string, ts timestamp, lat double, lon double, baro_alt_ft double, "
