@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerotrace.llm import (
+    archive_manifest,
     evidence_quality,
     feed_mix,
     licences,
@@ -25,6 +26,7 @@ from aerotrace.session import configure, scratch_dir
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -210,3 +212,85 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_licences")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _manifest_sql(levels: int) -> str:
+    """Trees of up to ``8 ** levels`` nodes: leaves ``m``, their levels ``c``, the folders' levels ``g``."""
+    upper, lower = UPPER, UPPER.lower()
+    # the sixteen remainders of a nibble under the polynomial of crc32
+    table = "[" + ", ".join(str(_nibble(i)) for i in range(16)) + "]"
+    crc = f"""xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(
+        [[CAST(ascii(x) & 15 AS BIGINT), CAST(ascii(x) >> 4 AS BIGINT)] FOR x IN string_split(CAST(doc_id AS VARCHAR), '')])),
+        lambda a, x: xor(a >> 4, {table}[(xor(a, x) & 15) + 1])), 4294967295)"""
+    field = "coalesce(strlen({0}) || ':' || {0}, '-')"
+    cells = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"]
+    own = " || ".join(field.format(c) for c in [*cells, "text"])
+    copy = " || ".join(field.format(c) for c in [*cells, f"translate(text, '{upper}', '{lower}')"])
+    sql = f"""WITH m0 AS (
+      SELECT doc_id, lang, sha256({own}) AS leaf,
+             CASE WHEN coalesce(({crc}) % 3 = 0, FALSE) THEN sha256({copy}) ELSE sha256({own}) END AS got
+      FROM documents),
+    m AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM m0),
+    c0 AS (SELECT lang, pos, leaf AS d, count(*) OVER (PARTITION BY lang) AS n FROM m)"""
+
+    def climb(name: str, key: str) -> str:
+        out = ""
+        for k in range(levels):
+            out += f""",
+    {name}{k + 1} AS (
+      SELECT {key}, pos // w AS pos, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY pos)) ELSE any_value(d) END AS d,
+             (n + 7) // 8 AS n
+      FROM (SELECT *, CASE WHEN n > 1 THEN 8 ELSE 1 END AS w FROM {name}{k}) GROUP BY {key}, pos // w, n)"""
+        return out
+
+    def rise(name: str, nodes: str, key: str, first: str) -> str:
+        """Witness and folded node, one level after the other; ``p`` all siblings so far."""
+        out, last = "", first
+        for k in range(levels):
+            out += f""",
+    {name}{k + 1} AS (
+      SELECT any_value(u.doc_id) AS doc_id, any_value(u.leaf) AS leaf, u.lang, any_value(u.place // 8) AS place, any_value(u.p)
+               || coalesce(string_agg(s.d, '' ORDER BY s.pos) FILTER (WHERE s.pos <> u.place), '') AS p,
+             CASE WHEN any_value(s.n) > 1 THEN sha256(
+               coalesce(string_agg(s.d, '' ORDER BY s.pos) FILTER (WHERE s.pos < u.place), '') || any_value(u.got)
+               || coalesce(string_agg(s.d, '' ORDER BY s.pos) FILTER (WHERE s.pos > u.place), '')) ELSE any_value(u.got) END AS got,
+             u.id
+      FROM {last} u JOIN {nodes}{k} s ON {key} AND s.pos // 8 = u.place // 8
+      GROUP BY u.id, u.lang)"""
+            last = f"{name}{k + 1}"
+        return out
+
+    sql += climb("c", "lang")
+    sql += f""",
+    g0 AS (SELECT 1 AS one, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, d,
+                  count(*) OVER () AS n FROM c{levels})"""
+    sql += climb("g", "one")
+    sql += """,
+    u0 AS (SELECT doc_id, leaf, lang, pos AS place, '' AS p, got, row_number() OVER () AS id FROM m)"""
+    sql += rise("u", "c", "s.lang IS NOT DISTINCT FROM u.lang", "u0")
+    sql += f""",
+    v0 AS (SELECT u.* REPLACE (g.pos AS place) FROM u{levels} u JOIN g0 g ON g.lang IS NOT DISTINCT FROM u.lang)"""
+    sql += rise("v", "g", "s.one = 1", "v0")
+    return sql + f"""
+    SELECT v.doc_id, v.leaf, c.d AS subroot, r.d AS root, sha256(v.p) AS proof_sha256, v.got AS folded_root,
+           v.got = r.d AS verified
+    FROM v{levels} v JOIN c{levels} c ON c.lang IS NOT DISTINCT FROM v.lang JOIN g{levels} r ON r.one = 1"""
+
+
+def _nibble(value: int) -> int:
+    for _ in range(4):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+@query("op12_archive_manifest", _manifest_sql(6))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    reports = docs.select(
+        F.col("doc_id").alias("seq"), "source", F.col("lang").alias("feed"), "n_chars", F.col("text").alias("raw")
+    )
+    altered = F.crc32(F.col("seq").cast("string")) % 3 == 0
+    copy = F.when(altered, F.translate("raw", UPPER, UPPER.lower())).otherwise(F.col("raw"))
+    return archive_manifest.archive_manifest(
+        spark, reports, ("seq", "source", "feed", "n_chars", "raw"), "feed", ("seq",), {"raw": copy}
+    ).withColumnRenamed("seq", "doc_id")
