@@ -12,6 +12,7 @@ from aerotrace.llm import (
     archive_manifest,
     evidence_quality,
     feed_mix,
+    hard_negatives,
     licences,
     near_trajectories,
     pieces,
@@ -294,3 +295,38 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_manifest.archive_manifest(
         spark, reports, ("seq", "source", "feed", "n_chars", "raw"), "feed", ("seq",), {"raw": copy}
     ).withColumnRenamed("seq", "doc_id")
+
+
+@query(
+    "op13_hard_negatives",
+    """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (
+      SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+             CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+      FROM v a JOIN v c ON c.vec_id <> a.vec_id AND len(c.e) = len(a.e)
+      WHERE a.vec_id % 100 = 0),
+    p AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+      FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    n AS (
+      SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+      FROM p JOIN s USING (anchor_id)
+      WHERE NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "flight_id")
+    moved = F.when(F.col("flight_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    flights = rows.select("flight_id", "embedding", moved.alias("dest_icao"))
+    return hard_negatives.hard_negatives(
+        spark, flights, flights.where(F.col("flight_id") % 100 == 0), label="dest_icao", positives=5, negatives=10
+    )
