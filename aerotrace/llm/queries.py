@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from aerotrace.llm import (
     archive_manifest,
+    content_lines,
     evidence_quality,
     feed_mix,
     hard_negatives,
@@ -215,6 +216,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op11_content_lines")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    return content_lines.content_lines(
+        spark, texts, labels.select(F.col("doc_id").alias("id"), "quality")
+    ).withColumnRenamed("id", "doc_id")
+
+
 def _manifest_sql(levels: int) -> str:
     """Trees of up to ``8 ** levels`` nodes: leaves ``m``, their levels ``c``, the folders' levels ``g``."""
     upper, lower = UPPER, UPPER.lower()
