@@ -11,11 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerotrace.session import stored
+from aerotrace.sources.archive import ARCHIVE_COLUMNS
 
-FIELDS = (
-    "icao24", "ts", "lat", "lon", "baro_alt_ft", "geo_alt_ft", "velocity_kt", "heading_deg",
-    "vert_rate_fpm", "on_ground", "squawk", "source",
-)
 ARITY = 8
 PROVED = ("leaf", "subroot", "proof_sha256", "folded_root")
 HEIGHT = 4  # levels of a block, which is the unit of work: ARITY ** HEIGHT nodes
@@ -218,8 +215,8 @@ def leaf(values: Sequence[Column]) -> Column:
 def archive_manifest(
     spark: SparkSession,
     reports: DataFrame,
-    fields: Sequence[str] = FIELDS,
-    folder: str = "source",
+    fields: Sequence[str] = ARCHIVE_COLUMNS,
+    folder: str = "dt",
     order: Sequence[str] = ("ts", "icao24"),
     received: dict[str, Column] | None = None,
     arity: int = ARITY,
@@ -228,7 +225,7 @@ def archive_manifest(
     """Merkle tree over archived reports, a proof for each, and the check of a received copy.
 
     ``reports`` has the columns ``fields``, ``folder`` and ``order``; others are ignored. By default
-    these are position reports as the archive holds them: one subtree per feed (``source``), leaves by
+    these are position reports as the archive holds them: one subtree per day (``dt``), leaves by
     ``ts`` and ``icao24``. A leaf is the sha256 of the fields in their order (see ``leaf``;
     timestamps count as microseconds, other types as Spark writes them). While a folder has several nodes, each ``arity``
     consecutive ones become their parent, the last run may be shorter; what is left is its
