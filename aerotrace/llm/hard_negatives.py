@@ -24,6 +24,7 @@ BLOCK_ROWS = 4_096  # anchors that meet a shard in one group
 CODEWORDS = 16  # per half space
 FIT_ROWS = 2_048  # rows of a shard its codebooks are fitted on, at most
 BATCH = 512
+MOST_TASKS = 20_000
 EXACT = float(1 << 53)
 NO_FLOOR = -(1 << 63)
 
@@ -276,8 +277,12 @@ def hard_negatives(
     pair = [T.StructField("anchor_id", kind), T.StructField("positive_id", kind)]
     score = T.StructField("positive_score", T.LongType())
 
+    tasks = min(MOST_TASKS, 2 * shards * blocks)
+
     def visit(rows: DataFrame, search, schema: T.StructType) -> DataFrame:
-        return rows.join(index, ["dim", "shard"]).groupBy("dim", "shard", "block").applyInPandas(search, schema)
+        # little data, much work: a stated number of partitions is not put together again
+        keys = ["dim", "shard", "block"]
+        return rows.join(index, ["dim", "shard"]).repartition(tasks, *keys).groupBy(*keys).applyInPandas(search, schema)
 
     def away(rows: DataFrame) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
