@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerotrace.operators import serving, spatial, tracks
+from aerotrace.operators import serving, similarity, spatial, tracks
 from aerotrace.plans import fixtures as fx
 from aerotrace.plans.ingest_queries import BBOX, report_rounded
 from aerotrace.plans.oracle_views import rnd, sql
@@ -147,6 +147,52 @@ def g10(spark, sf):
     return serving.similar(emb, wanted, 20)
 
 
+MANY_SQL = f"""
+    WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    p AS (
+      SELECT q.vec_id AS query_id, c.vec_id AS flight_id, round(list_cosine_similarity(q.e, c.e), 9) AS c9
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+    r AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c9 DESC, flight_id)::INTEGER AS rank FROM p)
+    SELECT query_id, rank, flight_id, {rnd('c9', 'cosine')} FROM r WHERE rank <= 10
+"""
+
+
+@query("g10_similar_many", sql(MANY_SQL))
+def g10_many(spark, sf):
+    emb = fx.embeddings(spark, sf)
+    return similarity.similar(spark, emb, emb.where("flight_id % 20 = 0"), 10)
+
+
+def similar_lists(spark, sf):
+    emb = fx.embeddings(spark, sf)
+    index = similarity.build_lists(spark, emb)
+    return similarity.similar_by_lists(spark, index, emb.where("flight_id % 20 = 0"), 10)
+
+
+@query(
+    "g10_similar_recall",
+    sql(
+        f"""
+        SELECT count(*) AS neighbours, count(DISTINCT query_id) AS queries, TRUE AS recall_reached, TRUE AS cosines_exact
+        FROM ({MANY_SQL})
+        """
+    ),
+)
+def g10_recall(spark, sf):
+    """Neighbours that the inverted lists find, of all exact ones; at least nine tenths."""
+    emb = fx.embeddings(spark, sf)
+    exact = similarity.similar(spark, emb, emb.where("flight_id % 20 = 0"), 10)
+    found = similar_lists(spark, sf).select("query_id", "flight_id", F.col("cosine").alias("_c"))
+    both = exact.join(found, ["query_id", "flight_id"], "left")
+    return both.agg(
+        F.count("*").alias("neighbours"),
+        F.count_distinct("query_id").alias("queries"),
+        (F.count("_c") >= 0.9 * F.count("*")).alias("recall_reached"),
+        F.bool_and(F.abs(F.col("cosine") - F.col("_c")) < 1e-8).alias("cosines_exact"),
+    )
+
+
 @query("g11_state_as_of", latest_sql(f"ts <= TIMESTAMP '{AS_OF}'"))
 def g11(spark, sf):
     return serving.state_as_of(fx.reports(spark, sf), AS_OF).select(*serving.POSITION)
