@@ -234,27 +234,27 @@ def score_predictions(pred: DataFrame, truth: DataFrame, tol_s: int = 3) -> Data
         .groupBy("_row", *pred.columns)
         .agg(F.min_by(F.struct("_ms", "_lat", "_lon"), F.struct(off, F.col("_ms"))).alias("t"))
     )
-    e = enu_east("t._lat", "t._lon", "lat0", "lon0")
-    n = enu_north("t._lat", "t._lon", "lat0", "lon0")
+    return matched.select(
+        KEY, "issued_at", "horizon_s", "phase", F.timestamp_millis("t._ms").alias("truth_ts"),
+        *score_columns("t._lat", "t._lon"),
+    )
+
+
+def score_columns(lat: str, lon: str) -> list[Column]:
+    """Error, pinball loss and coverage of a quantile forecast against a true position."""
+    e, n = enu_east(lat, lon, "lat0", "lon0"), enu_north(lat, lon, "lat0", "lon0")
     losses = [
         pinball(y, F.col(f"{k}_{a}"), p)
         for a, y in (("east_m", e), ("north_m", n))
         for k, p in QUANTILE_PROBS.items()
     ]
     de, dn = F.col("q50_east_m") - e, F.col("q50_north_m") - n
-    return matched.select(
-        KEY,
-        "issued_at",
-        "horizon_s",
-        "phase",
-        F.timestamp_millis("t._ms").alias("truth_ts"),
+    inside = e.between(F.col("q10_east_m"), F.col("q90_east_m")) & n.between(F.col("q10_north_m"), F.col("q90_north_m"))
+    return [
         (F.sqrt(de * de + dn * dn) / 1000.0).alias("error_km"),
         (sum(losses[1:], losses[0]) / len(losses)).alias("crps"),
-        (
-            e.between(F.col("q10_east_m"), F.col("q90_east_m"))
-            & n.between(F.col("q10_north_m"), F.col("q90_north_m"))
-        ).alias("in_80"),
-    )
+        inside.alias("in_80"),
+    ]
 
 
 def ranking_metrics(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerotrace.operators import ingest
 from aerotrace.operators.spatial import with_cell
 from aerotrace.plans import fixtures as fx
 from aerotrace.plans import ingest_queries  # noqa: F401 - registers the SQL used below
@@ -12,13 +13,15 @@ from aerotrace.plans.oracle_views import rnd, sql
 from aerotrace.plans.registry import ORACLE, query
 from aerotrace.plans.track_queries import SAMPLED_SQL
 from aerotrace.session import scratch_dir
-from aerotrace.sources import archive, log
-from aerotrace.streaming import tables, tracks
+from aerotrace.sources import archive, log, versioned
+from aerotrace.schemas import REPORT
+from aerotrace.streaming import assembly, tables, tracks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ONCE = {"availableNow": True}
 # After the last report, one far later report of no aircraft moves the watermark past it.
 CLOSING = "2024-01-02 14:00:00"
+_ASSEMBLED: dict[tuple[str, str], str] = {}
 
 
 def report_files(spark: SparkSession, df: DataFrame) -> tuple[str, str]:
@@ -171,7 +174,8 @@ def k4(spark, sf):
     out = scratch_dir(spark, "latest")
     rows = stream(spark, fx.reports_dup(spark, sf)).where("icao24 <> 'closing'")
     tables.upsert_stream(rows, out, f"{out}-state", trigger=ONCE).awaitTermination()
-    return spark.read.parquet(out).drop("dt", "hour")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return versioned.read_table(spark, out, schema).drop("dt", "hour")
 
 
 @query(
@@ -187,3 +191,102 @@ def k4(spark, sf):
 )
 def k5(spark, sf):
     return tracks.cell_feed(run_tracks(spark, sf)).drop("value")
+
+
+def assembled(spark: SparkSession, sf: str) -> str:
+    """All sinks of one fold over the reports, in one folder, made once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ASSEMBLED:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        base = scratch_dir(spark, "assembled")
+        feed = tracks.track_stream(stream(spark, fx.kept(spark, sf, "reports"))).where("icao24 <> 'closing'")
+        assembly.assemble(feed, fx.airports(spark, sf), base, f"{base}/state", ONCE).awaitTermination()
+        _ASSEMBLED[key] = base
+    return _ASSEMBLED[key]
+
+
+
+_KEPT_SQL = SAMPLED_SQL.split("SELECT icao24, ts, phase FROM walk WHERE kept")[0]
+
+
+@query(
+    "a9_sampled_archive",
+    sql(
+        f"""
+        {_KEPT_SQL}
+        SELECT strftime(s.ts, '%Y-%m-%d') AS dt, strftime(s.ts, '%H') AS hour, s.icao24, s.ts,
+               {rnd('s.lat', 'lat')}, {rnd('s.lon', 'lon')}, s.baro_alt_ft, NULL::DOUBLE AS geo_alt_ft,
+               s.velocity_kt, s.heading_deg, s.vert_rate_fpm, s.on_ground, s.squawk,
+               floor(s.lat / 0.3e0)::INT || ':' || floor(s.lon / 0.3e0)::INT AS cell
+        FROM fx_reports s JOIN walk w ON w.icao24 = s.icao24 AND w.ts = s.ts WHERE w.kept
+        """,
+        "states",
+        "fx_reports",
+    ),
+)
+def a9k(spark, sf):
+    """The archive as the assembler writes it: sampled reports only."""
+    return versioned.read_table(spark, f"{assembled(spark, sf)}/archive", REPORT).drop("source")
+
+
+@query("e7_flight_stream", ORACLE["e7_flight_rows"])
+def e7k(spark, sf):
+    """The flights table as the stream keeps it."""
+    return assembly.read_flights(spark, f"{assembled(spark, sf)}/flights")
+
+
+@query("k1_assembled_anomalies", ORACLE["k1_anomaly_stream"])
+def k1k(spark, sf):
+    schema = "icao24 STRING, ts TIMESTAMP, kind STRING, score DOUBLE, flight_id STRING"
+    return versioned.read_table(spark, f"{assembled(spark, sf)}/anomalies", schema).drop("dt", "hour")
+
+
+REASONS = ("no_hex", "no_position", "not_icao", "bad_hex", "bad_position", "lat_range", "lon_range")
+
+
+@query(
+    "d13_stream_counters",
+    sql(
+        f"""
+        {_KEPT_SQL},
+        legs AS (SELECT outcome, arr_ts FROM pairs_legs),
+        counted AS (
+          SELECT 'anomaly:' || kind AS counter, count(*) AS n FROM hits GROUP BY 1
+          UNION ALL SELECT 'event:takeoff', count(*) FROM states WHERE took_off
+          UNION ALL SELECT 'event:landing', count(*) FROM legs WHERE outcome = 'closed'
+          UNION ALL SELECT 'event:rejected', count(*) FROM states s WHERE landed AND NOT EXISTS (
+            SELECT 1 FROM pairs_legs l WHERE l.icao24 = s.icao24 AND l.arr_ts = s.ts AND l.outcome = 'closed')
+          UNION ALL SELECT 'sampled:rows', count(*) FROM walk WHERE kept
+          UNION ALL SELECT 'received:adsb_lol', count(*) FROM fx_reports WHERE seq % 50 <> 0 AND seq % 61 <> 0
+          UNION ALL SELECT 'rejected:no_position', count(*) FROM fx_reports WHERE seq % 61 = 0
+          UNION ALL SELECT 'rejected:not_icao', count(*) FROM fx_reports WHERE seq % 50 = 0 AND seq % 61 <> 0)
+        SELECT counter, n FROM counted WHERE n > 0
+        """,
+        "states",
+        "hits",
+        "pairs_legs",
+        "fx_reports",
+    ),
+)
+def d13s(spark, sf):
+    """Sums of the counters that two streams report per batch: of the ingest and of the tracks."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    counters = assembly.Counters()
+    spark.streams.addListener(counters)
+    try:
+        raw = scratch_dir(spark, "raw")
+        fx.raw_json(spark, sf).write.json(raw)
+        records = log.read_log(spark, raw, "seq LONG, received_at TIMESTAMP, value STRING")
+        parsed = assembly.count_rejects(ingest.parse_reports(records), REASONS, ("adsb_lol",))
+        reports = stream(spark, fx.kept(spark, sf, "reports"))
+        feed = assembly.count_tracks(tracks.track_stream(reports).where("icao24 <> 'closing'"))
+        for name, df in (("good", ingest.split_valid(parsed)[0]), ("tracks", feed)):
+            out = scratch_dir(spark, name)
+            writer = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
+            q = writer.trigger(**ONCE).start()
+            q.awaitTermination()
+            counters.wait(q)
+    finally:
+        spark.streams.removeListener(counters)
+    rows = [(k, n) for k, n in counters.total.items() if n and not k.startswith("rows:")]
+    return spark.createDataFrame(rows, "counter STRING, n LONG")

@@ -414,9 +414,10 @@ def j6(spark, sf):
     return evaluation.calibration(quantile_forecasts(spark, sf), pit_axis="alt_ft")
 
 
-@query(
-    "c9_score_predictions",
-    sql(
+def scored_sql(join: str, flag: str = "BOOLEAN") -> str:
+    """Forecasts with their scores; with a left join also those that never met a report."""
+    inside = "y_east_m BETWEEN q10_east_m AND q90_east_m AND y_north_m BETWEEN q10_north_m AND q90_north_m"
+    return sql(
         f"""
         , truth AS (
           SELECT * FROM (
@@ -431,23 +432,28 @@ def j6(spark, sf):
           WHERE rn = 1)
         SELECT icao24, anchor_ts AS issued_at, horizon_s, phase, truth_ts,
                {rnd('sqrt(pow(q50_east_m - y_east_m, 2) + pow(q50_north_m - y_north_m, 2)) / 1000', 'error_km')},
-               {rnd(_CRPS, 'crps')}
-        FROM (SELECT * EXCLUDE (y_east_m, y_north_m) FROM quantiles) q JOIN truth USING (icao24, i, horizon_s)
+               {rnd(_CRPS, 'crps')}, ({inside})::{flag} AS in_80
+        FROM (SELECT * EXCLUDE (y_east_m, y_north_m) FROM quantiles) q {join} truth USING (icao24, i, horizon_s)
         """,
         "quantiles",
         "num",
-    ),
-)
-def c9(spark, sf):
+    )
+
+
+def issued_forecasts(spark, sf):
+    """Quantile forecasts of every window, with the position they start from."""
     issued = quantile_forecasts(spark, sf).withColumnRenamed("anchor_ts", "issued_at")
-    reports = fx.reports(spark, sf)
-    start = reports.select("icao24", F.col("ts").alias("issued_at"),
-                           F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
-    pred = issued.join(start, ["icao24", "issued_at"]).select(
+    start = fx.reports(spark, sf).select("icao24", F.col("ts").alias("issued_at"),
+                                         F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
+    return issued.join(start, ["icao24", "issued_at"]).select(
         "icao24", "issued_at", "horizon_s", "phase", "lat0", "lon0",
         *[f"{q}_{a}" for q in conflict.QUANTILES for a in ("east_m", "north_m")],
     )
-    return evaluation.score_predictions(pred, reports).drop("in_80")
+
+
+@query("c9_score_predictions", scored_sql("JOIN"))
+def c9(spark, sf):
+    return evaluation.score_predictions(issued_forecasts(spark, sf), fx.reports(spark, sf))
 
 
 @query(

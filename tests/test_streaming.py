@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from aerotrace.operators.tracks import track_states
+from aerotrace.operators.tracks import flight_rows, track_states
 from aerotrace.plans import fixtures as fx
 from aerotrace.plans.streaming_queries import CLOSING, ONCE, ROCKSDB
-from aerotrace.sources import log
-from aerotrace.streaming import tracks
+from aerotrace.sources import log, versioned
+from aerotrace.streaming import assembly, tables, tracks
 from pyspark.sql import functions as F
 
 from paths import SF_DIR
@@ -81,3 +81,88 @@ def test_state_expires(spark, tmp_path):
     run(spark, path, out)
     got = spark.read.parquet(out).where("icao24 = 'a'").orderBy("ts").collect()
     assert [(r.prev_phase, r.event) for r in got] == [(None, None), (None, None)]
+
+
+def test_flights_table_equals_batch_after_disorder_repeats_and_restart(spark, tmp_path):
+    airports = fx.airports(spark, SF_DIR)
+    rows = fx.kept(spark, SF_DIR, "reports").select(*[c.split(" ")[0] for c in SCHEMA.split(", ")])
+    want = sorted(map(tuple, flight_rows(track_states(rows), airports).collect()), key=str)
+    path, base = str(tmp_path / "in"), str(tmp_path / "out")
+    second = F.unix_timestamp("ts") - 1_704_117_600
+
+    def go():
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        feed = tracks.track_stream(log.read_log(spark, f"{path}/*", SCHEMA, files_per_trigger=1), "30 seconds")
+        live = feed.where("icao24 <> 'closing'")
+        assembly.assemble(live, airports, base, f"{base}/state", ONCE).awaitTermination()
+
+    put(rows.where(second < 130).orderBy(F.col("ts").desc()), path, "0")
+    go()  # stops with legs open
+    opened = assembly.read_flights(spark, f"{base}/flights")
+    assert {r["status"] for r in opened.collect()} <= {"airborne", "landed"}
+    put(rows.where((second >= 130) & (second < 400)), path, "1")
+    put(rows.where((second >= 360) & (second < 400)), path, "2")  # redelivered
+    put(rows.where(second >= 400), path, "3")
+    put(closing(rows), path, "4")
+    go()
+    columns = ["flight_id", "icao24", "origin_icao", "dest_icao", "actual_dep", "actual_arr", "status"]
+    got = assembly.read_flights(spark, f"{base}/flights").select(*columns)
+    assert sorted(map(tuple, got.collect()), key=str) == want
+
+    # a batch that comes again changes nothing, whatever it holds
+    before = versioned.manifest(spark, f"{base}/flights")
+    batch = spark.createDataFrame([], tracks._OUT)
+    assert not assembly.merge_flights(batch, airports, f"{base}/flights", before["batch"])
+    assert versioned.manifest(spark, f"{base}/flights") == before
+
+
+def test_readers_see_whole_versions(spark, tmp_path):
+    path = str(tmp_path / "table")
+    schema = "icao24 STRING, ts TIMESTAMP, seq LONG"
+    t = dt.datetime(2024, 1, 1, 14)
+    make = lambda *rows: spark.createDataFrame([(k, t + dt.timedelta(hours=h), s) for k, h, s in rows], schema)
+    read = lambda **kw: sorted((r["icao24"], r["seq"]) for r in versioned.read_table(spark, path, schema, **kw).collect())
+    assert read() == []
+    tables.merge_batch(make(("a", 0, 1), ("b", 1, 2)), path, batch_id=0)
+    old = versioned.read_table(spark, path, schema)  # a reader that has begun
+    tables.merge_batch(make(("a", 0, 3), ("c", 0, 4)), path, batch_id=1)
+    assert sorted(r["seq"] for r in old.collect()) == [1, 2]
+    assert read() == [("a", 3), ("b", 2), ("c", 4)]
+    tables.merge_batch(make(("a", 0, 9)), path, batch_id=1)  # the batch again
+    assert read() == [("a", 3), ("b", 2), ("c", 4)]
+    # a writer that fails before the manifest leaves the table as it was
+    spark.createDataFrame([("z", 7)], "icao24 string, seq long").write.parquet(f"{path}/data/v000000000003")
+    assert read() == [("a", 3), ("b", 2), ("c", 4)]
+    tables.merge_batch(make(("d", 1, 5)), path, batch_id=2)
+    assert read() == [("a", 3), ("b", 2), ("c", 4), ("d", 5)]
+    assert read(since="2024-01-01 15") == [("b", 2), ("d", 5)] and read(until="2024-01-01 14") == [("a", 3), ("c", 4)]
+    assert read(version=1) == [("a", 1), ("b", 2)]
+    assert versioned.expire(spark, path, keep=1) == 2  # the first files of both hours
+    assert read() == [("a", 3), ("b", 2), ("c", 4), ("d", 5)]
+    assert versioned.append(make(("e", 0, 6)), path, 3) and not versioned.append(make(("e", 0, 6)), path, 3)
+    assert read() == [("a", 3), ("b", 2), ("c", 4), ("d", 5), ("e", 6)]
+
+
+def test_counters_tell_late_rows_per_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    t = dt.datetime(2024, 1, 1, 14)
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    make = lambda key, s, squawk: (key, t + dt.timedelta(seconds=s), 1.0, 1.0, 5000.0, 0.0, False, squawk)
+    for i, batch in enumerate([[("a", 0, "7700"), ("a", 300, None)], [("b", 310, None)], [("a", 10, "7700"), ("b", 320, "7600")]]):
+        put(spark.createDataFrame([make(*x) for x in batch], SCHEMA), path, str(i))
+    put(closing(spark.createDataFrame([make("a", 0, None)], SCHEMA)), path, "9")
+    counters = assembly.Counters()
+    spark.streams.addListener(counters)
+    try:
+        feed = assembly.count_tracks(
+            tracks.track_stream(log.read_log(spark, f"{path}/*", SCHEMA, files_per_trigger=1)).where("icao24 <> 'closing'")
+        )
+        q = feed.writeStream.option("path", out).option("checkpointLocation", f"{out}-state").trigger(**ONCE).start()
+        q.awaitTermination()
+        counters.wait(q)
+    finally:
+        spark.streams.removeListener(counters)
+    total = counters.total
+    assert (total["rows:read"], total["rows:late"]) == (6, 1)
+    assert (total["anomaly:squawk_emergency"], total["anomaly:rapid_descent"]) == (2, 0)
+    assert len({b for _, b, _ in counters.batches}) >= 4
