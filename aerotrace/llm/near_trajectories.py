@@ -6,13 +6,16 @@ import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from aerotrace.llm.components import connected_components
+from aerotrace.llm.files import read_bytes, written
 from aerotrace.llm.vectors import matrix, one_per_id, shard_count, usable
-from aerotrace.session import stored
+from aerotrace.session import scratch_dir, stored
 
 THRESHOLD = 0.9
 SHARD_ROWS = 16_384
@@ -20,11 +23,15 @@ MIN_SHARDS = 8
 DEGREE = 12
 BUILD_BEAM = 48
 BEAM = 32
-AUDIT_ROWS = 64
+AUDIT_ROWS = 64  # queries with links that are compared with all of the shard
+PROBES = 256  # planted queries of a meeting
 RECALL = 0.995
+MOST_TASKS = 20_000
+SALTS = 8
+ABOUT = ("s", "t", "beam", "recall", "queries")
 SLACK = 1e-4  # single against double precision
 STEP = 256  # queries searched together
-OPEN = 4  # beam entries opened at once
+OPEN = 4  # beam entries opened at once, more where the beam is wide
 
 
 class SmallWorld:
@@ -126,10 +133,10 @@ class SmallWorld:
         k = start.shape[1]
         ids[:, :k] = start
         sims[:, :k] = np.where(start >= 0, np.einsum("bkd,bd->bk", self.x[start], q), -np.inf)
-        opened[:, :k] = start < 0
+        opened[:, :k] = (start < 0) | (k >= n)  # where all nodes are in the beam there is nothing to open
         visited[rows, start] = True
         live = np.arange(b)
-        few = min(OPEN, beam)
+        few = min(beam, max(OPEN, beam // 16))
         while len(live):
             waiting = np.where(opened[live], -np.inf, sims[live])
             pick = np.argpartition(-waiting, few - 1, axis=1)[:, :few]
@@ -168,7 +175,7 @@ class SmallWorld:
                 part = max(16, STEP * 64 // max(64, width))
                 for lo in range(0, len(rest), part):
                     some = rest[lo : lo + part]
-                    ids, sims = self._beam(self.layers[-1], q[some], self._descend(q[some], len(self.x)), width)
+                    ids, sims = self._beam(self.layers[-1], q[some], self._start(q[some], width), width)
                     full = (sims[:, -1] >= least) & (width < len(self.x))
                     again.append(some[full])
                     r, c = np.nonzero((sims >= least) & (ids >= 0) & ~full[:, None])
@@ -177,16 +184,11 @@ class SmallWorld:
                 rest, width = np.concatenate(again), min(2 * width, len(self.x))
         return np.concatenate(out_q), np.concatenate(out_n)
 
-    def nearest(self, q: np.ndarray, beam: int) -> np.ndarray:
-        """The ``beam`` best nodes met by each query, in input order; -1 where there are fewer."""
-        width = min(beam, len(self.x))
-        part = max(16, STEP * 64 // max(64, width))
-        out = []
-        for at in range(0, len(q), part):
-            some = q[at : at + part]
-            ids = self._beam(self.layers[-1], some, self._descend(some, len(self.x)), width)[0]
-            out.append(np.where(ids >= 0, self.order[ids], -1))
-        return np.concatenate(out)
+    def _start(self, q: np.ndarray, width: int) -> np.ndarray:
+        """Entry points of the lowest layer; a beam as wide as the shard starts from all of its nodes."""
+        if width >= len(self.x):
+            return np.broadcast_to(np.arange(len(self.x)), (len(q), len(self.x)))
+        return self._descend(q, len(self.x))
 
 
 def _once(ids: np.ndarray) -> np.ndarray:
@@ -201,53 +203,60 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def _probes(shard: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Evenly spaced vectors of the shard and each of them turned by the limiting angle in a random direction."""
+    source = np.unique(np.linspace(0, len(shard) - 1, min(PROBES, len(shard))).astype(int))
+    v = shard[source]
+    turn = np.random.default_rng(23).normal(size=v.shape)
+    turn -= (turn * v).sum(axis=1, keepdims=True) * v
+    size = np.sqrt((turn * turn).sum(axis=1, keepdims=True))
+    turn = np.where(size > 1e-9, turn / np.maximum(size, 1e-9), 0.0)  # one component has no other direction
+    cosine = min(1.0, least + SLACK)
+    probe = cosine * v + np.sqrt(1 - cosine**2) * turn
+    return source, probe / np.sqrt((probe * probe).sum(axis=1, keepdims=True))
+
+
 def audited(
     graph: SmallWorld, shard: np.ndarray, q: np.ndarray, least: float, same: bool = False
-) -> tuple[np.ndarray, np.ndarray]:
-    """Links from ``q`` into the shard. An audit of evenly spaced queries against all of the shard
-    doubles the beam until it finds ``RECALL`` of their links, as a mean over queries with links,
-    and the same share of their nearest vectors, which always exist. From a beam of an eighth of the
-    shard on, all are compared instead, which is exact and costs less. The queries that have links by the search are audited as well, at most as many.
+) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Links from ``q`` into the shard as ``(query, node)``, the beam that found them and its recall.
 
-    ``same`` says that the queries are the shard: none counts as its own link or neighbour.
+    Two audits double the beam until both reach ``RECALL``. Planted probes: vectors of the shard turned by
+    just the limiting angle must meet their source, so that a link of two otherwise unrelated vectors
+    would be found. Found links: a sample of the queries that have links is compared with all of the
+    shard, so that dense groups are found in full. The beam ends at the size of the shard, where the
+    search sees every node. The recall is the smaller of the two.
+
+    ``same`` says that the queries are the shard: none counts as its own link.
     """
     beam, single = BEAM, q.astype(np.float32)
-    even = np.unique(np.linspace(0, len(q) - 1, min(AUDIT_ROWS, len(q))).astype(int))
-    nearest = q[even] @ shard.T
-    if same:
-        nearest[np.arange(len(even)), even] = -np.inf
-    while 8 * beam < len(shard) and _nearest_met(graph, single[even], nearest, beam) < RECALL:
-        beam *= 2
-    while 8 * beam < len(shard):
-        found = graph.within(single, least - SLACK, beam)
-        linked = np.unique(found[0][found[0] != found[1]] if same else found[0])
-        linked = linked[np.unique(np.linspace(0, len(linked) - 1, min(AUDIT_ROWS, len(linked))).astype(int))]
-        sample = np.union1d(even, linked).astype(int)
-        near = q[sample] @ shard.T
-        if same:
-            near[np.arange(len(sample)), sample] = -np.inf
-        true = near >= least
-        met = np.zeros_like(true)
-        at = np.searchsorted(sample, found[0]).clip(max=len(sample) - 1)
-        hit = sample[at] == found[0]
-        met[at[hit], found[1][hit]] = True
-        some = true.any(axis=1)
-        shares = (met & true)[some].sum(axis=1) / true[some].sum(axis=1)
-        fine = shares.mean() >= RECALL if len(shares) else True
-        if fine and _nearest_met(graph, single[sample], near, beam) >= RECALL:
-            return found
+    source, probe = _probes(shard, least)
+    while True:
+        whole = beam >= len(shard)
+        recall = 1.0
+        if not whole:
+            met = graph.within(probe.astype(np.float32), least - SLACK, beam)
+            recall = float(np.isin(np.arange(len(source)), met[0][source[met[0]] == met[1]]).mean())
+        if recall >= RECALL:
+            found = graph.within(single, least - SLACK, beam)
+            if whole:
+                return *found, beam, recall
+            linked = np.unique(found[0][found[0] != found[1]] if same else found[0])
+            sample = linked[np.unique(np.linspace(0, len(linked) - 1, min(AUDIT_ROWS, len(linked))).astype(int))]
+            true = q[sample] @ shard.T >= least
+            if same:
+                true[np.arange(len(sample)), sample] = False
+            met = np.zeros_like(true)
+            if len(sample):
+                at = np.searchsorted(sample, found[0]).clip(max=len(sample) - 1)
+                hit = sample[at] == found[0]
+                met[at[hit], found[1][hit]] = True
+            some = true.any(axis=1)
+            if some.any():
+                recall = min(recall, float(((met & true)[some].sum(axis=1) / true[some].sum(axis=1)).mean()))
+            if recall >= RECALL:
+                return *found, beam, recall
         beam *= 2
-    blocks = [np.nonzero(q[at : at + STEP] @ shard.T >= least - SLACK) for at in range(0, len(q), STEP)]
-    return (
-        np.concatenate([r + i * STEP for i, (r, _) in enumerate(blocks)]), np.concatenate([c for _, c in blocks])
-    )
-
-
-def _nearest_met(graph: SmallWorld, q: np.ndarray, near: np.ndarray, beam: int) -> float:
-    """Share of the queries whose search meets a vector as near as their nearest one."""
-    ids = graph.nearest(q, beam)
-    met = np.where(ids >= 0, np.take_along_axis(near, ids.clip(min=0), axis=1), -np.inf).max(axis=1)
-    return float((met >= near.max(axis=1) - SLACK).mean())
 
 
 def _forest(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -262,26 +271,31 @@ def _forest(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _graph(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("rep")
-    unit = _unit(matrix(rows["embedding"]))
-    points = pickle.dumps((rows["rep"].tolist(), rows["n"].to_numpy(), unit), protocol=5)
-    graph = pickle.dumps(SmallWorld(unit), protocol=5)
-    return pd.DataFrame({
-        "dim": rows["dim"].iloc[:1], "shard": rows["shard"].iloc[:1], "points": [points], "graph": [graph],
-    })
-
-
-def _meet(least: float):
-    def meet(key: tuple, graphs: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        columns = ["rep", "root", "n"]
-        if not len(graphs) or not len(others):
-            return pd.DataFrame([], columns=columns)
-        ids, n, unit = pickle.loads(graphs["points"].iloc[0])
-        graph = pickle.loads(graphs["graph"].iloc[0])
-        same = key[1] == key[2]
-        other_ids, other_n, other = (ids, n, unit) if same else pickle.loads(others["points"].iloc[0])
-        a, b = audited(graph, unit, other, least, same)
+def _graph(folder: str):
+    """Points and graph of a shard go to files of the shared folder, once; the table holds their names."""
+
+    def graph(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep")
+        unit = _unit(matrix(rows["embedding"]))
+        name = f"{folder}/{rows['dim'].iloc[0]}-{rows['shard'].iloc[0]}"
+        for kind, value in (("points", (rows["rep"].tolist(), rows["n"].to_numpy(), unit)), ("graph", SmallWorld(unit))):
+            with written(f"{name}-{kind}") as out:
+                out.write(pickle.dumps(value, protocol=5))
+        return pd.DataFrame({"dim": rows["dim"].iloc[:1], "shard": rows["shard"].iloc[:1], "name": [name]})
+
+    return graph
+
+
+def _meet(least: float, kind: pa.DataType):
+    """Links of the vectors of one shard or between two, and a last row about the meeting itself."""
+
+    def meet(meeting: pa.Table) -> pa.Table:
+        s, t, name, other_name = (meeting[c][0].as_py() for c in ("s", "t", "name", "other_name"))
+        ids, n, unit = pickle.loads(read_bytes(f"{name}-points"))
+        graph = pickle.loads(read_bytes(f"{name}-graph"))
+        same = s == t
+        other_ids, other_n, other = (ids, n, unit) if same else pickle.loads(read_bytes(f"{other_name}-points"))
+        a, b, beam, recall = audited(graph, unit, other, least, same)
         exact = np.concatenate(
             [np.einsum("ij,ij->i", other[a[i : i + 65536]], unit[b[i : i + 65536]]) for i in range(0, len(a), 65536)]
             or [np.zeros(0)]
@@ -298,10 +312,15 @@ def _meet(least: float):
         links = np.bincount(a, weight[b], size) + np.bincount(b, weight[a], size)
         root = _forest(size, a, b)
         linked = np.flatnonzero(links)
-        return pd.DataFrame({
-            "rep": [names[i] for i in linked], "root": [names[root[i]] for i in linked],
-            "n": links[linked].astype(np.int64),
-        }, columns=columns)
+        found = len(linked)
+        columns = [
+            pa.array([names[i] for i in linked] + [None], kind),
+            pa.array([names[root[i]] for i in linked] + [None], kind),
+            pa.array(links[linked].astype(np.int64).tolist() + [None], pa.int64()),
+        ]
+        about = zip(ABOUT, (s, t, beam, recall, len(other)), strict=True)
+        columns += [pa.array([None] * found + [x], pa.float64() if c == "recall" else pa.int32()) for c, x in about]
+        return pa.table(columns, names=["rep", "root", "n", *ABOUT])
 
     return meet
 
@@ -311,6 +330,7 @@ def near_trajectories(
     trajectories: DataFrame,
     threshold: float = THRESHOLD,
     shard_rows: int = SHARD_ROWS,
+    audits: str | None = None,
 ) -> DataFrame:
     """Links and components of trajectories whose embeddings have a cosine of ``threshold`` or more.
 
@@ -323,11 +343,12 @@ def near_trajectories(
     embedding counts; rows without an id are dropped; an empty table gives an empty result.
 
     Equal embeddings are first put together. The rest is dealt by a hash into shards of bounded
-    size, each with a hierarchical small-world graph. Every shard is asked for the vectors of
-    every other (each two shards meet in one task), beams widen as ``within`` and ``audited``
-    say, and cosines are verified in double precision. A task returns the number of links of its
-    vectors and a spanning forest of them, not the pairs, so a large group of near copies costs
-    rows in proportion to its size.
+    size, each with a hierarchical small-world graph, kept in a file of the shared folder. Every shard is
+    asked for the vectors of every other (each two shards meet in one task, which gets their names),
+    beams widen as ``within`` and ``audited`` say, and cosines are verified in double precision. A
+    task returns the number of links of its vectors and a spanning forest of them, not the pairs, so a
+    large group of near copies costs rows in proportion to its size. ``audits`` names a folder for a table
+    of all meetings: ``s, t`` (shards), ``beam, recall, queries``.
     """
     rows = one_per_id(trajectories, "flight_id", "embedding")
     fit = usable("embedding") & F.exists("embedding", lambda x: x != 0)
@@ -342,38 +363,51 @@ def near_trajectories(
         "rep", "n", "embedding", F.size("embedding").alias("dim"),
         F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"),
     )
+    folder = scratch_dir(spark, "graphs")
     graphs = stored(
         spark,
-        dealt.groupBy("dim", "shard").applyInPandas(_graph, "dim int, shard int, points binary, graph binary"),
+        dealt.repartition(min(MOST_TASKS, shards), "dim", "shard").groupBy("dim", "shard").applyInPandas(
+            _graph(folder), "dim int, shard int, name string"
+        ),
         "graphs",
     )
     every = F.sequence(F.lit(0), F.lit(shards - 1))
     meeting = F.explode(F.filter(every, lambda t: t >= F.col("shard")))
-    met_by = F.explode(F.filter(every, lambda s: s <= F.col("shard")))
-    left = graphs.select("dim", F.col("shard").alias("s"), meeting.alias("t"), "points", "graph")
-    right = graphs.select("dim", met_by.alias("s"), F.col("shard").alias("t"), "points")
+    left = graphs.select("dim", F.col("shard").alias("s"), meeting.alias("t"), "name")
+    right = graphs.select("dim", F.col("shard").alias("t"), F.col("name").alias("other_name"))
     kind = rows.schema["flight_id"].dataType
     out = T.StructType([
         T.StructField("rep", kind), T.StructField("root", kind), T.StructField("n", T.LongType()),
+        *[T.StructField(c, T.DoubleType() if c == "recall" else T.IntegerType()) for c in ABOUT],
     ])
     keys = ["dim", "s", "t"]
+    tasks = min(MOST_TASKS, shards * (shards + 1) // 2)
     met = stored(
-        spark, left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_meet(threshold), out), "met"
+        spark,
+        left.join(right, ["dim", "t"]).repartition(tasks, *keys).groupBy(*keys).applyInArrow(
+            _meet(threshold, to_arrow_type(kind)), out
+        ),
+        "met",
     )
-    links = met.groupBy("rep").agg(F.sum("n").alias("links"))
-    ends = connected_components(spark, met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    if audits:
+        met.where("beam IS NOT NULL").select(*ABOUT).write.mode("overwrite").parquet(audits)
+    found = met.where("beam IS NULL")
+    links = found.groupBy("rep").agg(F.sum("n").alias("links"))
+    ends = connected_components(spark, found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    # rows find their group by a 128-bit name of the embedding; the salt splits a vector that many rows have
+    name = [F.xxhash64("embedding").alias("_a"), F.xxhash64(F.lit(1), "embedding").alias("_b")]
     of_group = (
         groups.join(links, "rep", "left")
         .join(ends.withColumnRenamed("id", "rep"), "rep", "left")
         .select(
-            F.col("embedding").alias("_e"),
-            (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("_n"),
-            F.coalesce("component_id", "rep").alias("_c"),
+            *name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
+            (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("_n"), F.coalesce("component_id", "rep").alias("_c"),
         )
     )
-    fit_rows = rows.where("fit").join(of_group, F.col("embedding") == F.col("_e")).select("flight_id", "_n", "_c")
+    salt = F.pmod(F.xxhash64("flight_id", F.lit("salt")), F.lit(SALTS)).cast("int").alias("_salt")
+    fit_rows = rows.where("fit").select("flight_id", *name, salt).join(of_group, ["_a", "_b", "_salt"])
     rest = rows.where("not fit").select("flight_id", F.lit(0).cast("long").alias("_n"), F.col("flight_id").alias("_c"))
-    return fit_rows.unionByName(rest).select(
+    return fit_rows.select("flight_id", "_n", "_c").unionByName(rest).select(
         "flight_id", F.col("_n").cast("long").alias("n_links"), F.col("_c").alias("component_id"),
         (F.col("flight_id") == F.col("_c")).alias("kept"),
     )

@@ -55,7 +55,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_near_trajectories")
+@query(
+    "op1_near_trajectories",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        AND len([x FOR x IN embedding IF x <> 0]) > 0),
+    l AS (
+      SELECT a.vec_id AS a, b.vec_id AS b
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+    c AS (
+      SELECT vec_id, vec_id AS root FROM embeddings
+      UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.vec_id),
+    m AS (SELECT vec_id, min(root) AS component_id FROM c GROUP BY vec_id),
+    n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+    SELECT m.vec_id, coalesce(n.n, 0) AS n_links, m.component_id, m.vec_id = m.component_id AS kept
+    FROM m LEFT JOIN n USING (vec_id)
+    """,
+)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("flight_id"), "embedding")
     return near_trajectories.near_trajectories(spark, rows).withColumnRenamed("flight_id", "vec_id")

@@ -8,6 +8,7 @@ import pytest
 from aerotrace.llm.components import connected_components
 from aerotrace.llm.near_trajectories import near_trajectories
 from aerotrace.llm.trajectory_search import top_trajectories
+from aerotrace.session import configure, scratch_dir
 
 SCHEMA = "flight_id long, embedding array<float>, shard string, dim string, rep string, score string, n string"
 
@@ -105,12 +106,43 @@ def test_audit_sees_missed_sparse_pairs():
     from aerotrace.llm.near_trajectories import SmallWorld, audited
 
     rng = np.random.default_rng(11)
-    shard, q = rng.normal(size=(4_000, 64)), rng.normal(size=(4_000, 64))
-    paired = rng.permutation(4_000)[:20]
+    shard, q = rng.normal(size=(1_500, 64)), rng.normal(size=(1_500, 64))
+    paired = rng.permutation(1_500)[:20]
     q[paired] = shard[paired[::-1]] + 0.25 * rng.normal(size=(20, 64))
     shard, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (shard, q))
     want = set(zip(*(x.tolist() for x in np.nonzero(q @ shard.T >= 0.9)), strict=True))
     graph = SmallWorld(shard)
-    graph.layers[-1][graph.layers[-1] >= 2_000] = -1  # half of the nodes cannot be reached
-    got = set(zip(*(x.tolist() for x in audited(graph, shard, q, 0.9)), strict=True))
-    assert len(want) == 20 and want <= got
+    graph.layers[-1][graph.layers[-1] >= 750] = -1  # half of the nodes cannot be reached
+    a, b, beam, recall = audited(graph, shard, q, 0.9)
+    assert len(want) == 20 and want <= set(zip(a.tolist(), b.tolist(), strict=True))
+    assert beam >= len(shard) and recall == 1.0  # the beam that sees every node
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_graph_search_of_thousands_finds_the_links(dense):
+    """Narrow beams do: the graph is searched, nothing is compared in full."""
+    from aerotrace.llm.near_trajectories import SmallWorld, audited
+
+    rng = np.random.default_rng(12)
+    shard, q = rng.normal(size=(5_000, 64)), rng.normal(size=(5_000, 64))
+    paired = rng.permutation(5_000)[:200]
+    q[paired] = shard[paired[::-1]] + 0.3 * rng.normal(size=(200, 64))
+    if dense:  # a large group of near copies
+        shard[:600] = shard[0] + 0.2 * rng.normal(size=(600, 64))
+        q[:600] = shard[0] + 0.2 * rng.normal(size=(600, 64))
+    shard, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (shard, q))
+    want = q @ shard.T >= 0.9
+    a, b, beam, recall = audited(SmallWorld(shard), shard, q, 0.9)
+    met = np.zeros_like(want)
+    met[a, b] = True
+    some = want.any(axis=1)
+    assert some.sum() > 150 and beam <= 512 and recall >= 0.995
+    assert ((met & want)[some].sum(axis=1) / want[some].sum(axis=1)).mean() >= 0.99
+
+
+def test_meetings_are_recorded(spark):
+    audits = scratch_dir(spark, "audits")
+    frame = spark.createDataFrame(rows(), SCHEMA)
+    near_trajectories(configure(spark), frame, shard_rows=20, audits=audits).count()
+    met = spark.read.parquet(audits).collect()
+    assert len(met) >= 21 and min(r["recall"] for r in met) >= 0.9
