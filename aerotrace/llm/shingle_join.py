@@ -30,6 +30,7 @@ BLOOM_BITS = 23
 POSTINGS = 400_000  # of a bucket, about
 SET_BYTES = 6
 BLOCK = 1 << 20  # pairs of a meeting looked at together
+SALTS = 8
 LISTED = 256  # partners in a row, at most
 EXTRA = 24  # a set of n tokens must share about n / EXTRA of its prefix
 
@@ -353,9 +354,9 @@ def _lists(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def mark(name: int, key: object) -> int:
-    """``xxhash64(name, key as string)`` as the SQL function gives it."""
+    """``xxhash64(name, key as string)`` as the SQL function gives it; it passes over a null key."""
     seed = xxhash.xxh64_intdigest(struct.pack("<q", name), seed=42)
-    return xxhash.xxh64_intdigest(str(key).encode(), seed=seed)
+    return seed if key is None else xxhash.xxh64_intdigest(str(key).encode(), seed=seed)
 
 
 def _sets(bloom):
@@ -489,28 +490,41 @@ def near_duplicate_evidence(spark: SparkSession, anomalies: DataFrame) -> DataFr
     members = F.slice("names", 2, F.greatest(F.size("names") - 1, F.lit(1)))
     hubs = lists.select("turn", F.get("names", F.lit(0)).alias("a"), F.explode(members).alias("b"))
     first = verified(spark, _under_all_orders(hubs), texts, nodes, "first")
-    links = _between_reps(first, nodes)
-    parts = connected_components(spark, links)
+    links = first.where("linked").select("a", "b")
     labelled = stored(
-        spark,
-        nodes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select(
-            "name", "n", F.coalesce("component_id", "rep").alias("part")
-        ),
-        "labelled",
+        spark, _with_part(nodes, connected_components(spark, links)).select("name", "n", "part"), "labelled"
     )
 
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     open_ = _across(lists, labelled).join(tried, ["a", "b"], "left_anti")
     second = verified(spark, open_, texts, nodes, "second")
-    ends = connected_components(spark, links.unionByName(_between_reps(second, nodes)))
-    classes = nodes.join(ends.withColumnRenamed("id", "rep"), "rep", "left").select(
-        F.col("name").alias("_name"), F.coalesce("component_id", "rep").alias("_class")
-    )
+    ends = connected_components(spark, links.unionByName(second.where("linked").select("a", "b")))
+    classes = _classes(stored(spark, _with_part(nodes, ends).select("name", "rep", "part"), "parts"))
     return docs.join(classes, F.col("name") == F.col("_name"), "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("_class", "id").alias("component_id")
     )
 
 
+def _with_part(nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """Sets with the smallest name of their component, which is never null as an id may be."""
+    part = F.coalesce("component_id", "name").alias("part")
+    return nodes.join(ends.withColumnRenamed("id", "name"), "name", "left").select(*nodes.columns, part)
+
+
+def _classes(parts: DataFrame) -> DataFrame:
+    """``_name, _class``: the smallest id of each set's component, null where it has none.
+
+    Sets that are alone need no look-up; the ids of the others are looked up by component and salt,
+    so that a large component is not one key.
+    """
+    least = parts.groupBy("part").agg(F.min("rep").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    salted = least.select("part", "_least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    own = parts.withColumn("_salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int"))
+    return own.join(salted, ["part", "_salt"], "left").select(
+        F.col("name").alias("_name"), F.coalesce("_least", "rep").alias("_class")
+    )
+
+
 def _under_all_orders(pairs: DataFrame) -> DataFrame:
     """``a, b`` of pairs that occur with every order."""
     met = pairs.groupBy("a", "b").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("turn"))).alias("met"))
@@ -622,9 +636,3 @@ def _pairs_met(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         shared = np.add.reduceat(np.where(turn == order, times, 0), start) if len(start) else start
         keep &= shared >= least_met(o)
     return pa.RecordBatch.from_arrays([pa.array(a[start][keep]), pa.array(b[start][keep])], names=["a", "b"])
-
-
-def _between_reps(checked: DataFrame, nodes: DataFrame) -> DataFrame:
-    a = nodes.select(F.col("name").alias("a"), F.col("rep").alias("_ra"))
-    b = nodes.select(F.col("name").alias("b"), F.col("rep").alias("_rb"))
-    return checked.where("linked").join(a, "a").join(b, "b").select(F.col("_ra").alias("a"), F.col("_rb").alias("b"))

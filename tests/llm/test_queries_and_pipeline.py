@@ -24,6 +24,15 @@ def test_query_equals_sql(spark, name):
     assert result.startswith("ok"), result
 
 
+def test_archives_equal_sql(spark):
+    from oracle_check import connect
+
+    got = queries.QUERIES["op7_snapshot_warc"](spark, SF_DIR)
+    want = connect(SF_DIR).sql(queries.ARCHIVE_SQL)
+    order = [got.columns.index(c) for c in want.columns]
+    assert sorted(tuple(r[i] for i in order) for r in got.collect()) == sorted(want.fetchall())
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     first = docs.limit(60)

@@ -247,3 +247,17 @@ def test_partners_of_many_sets_in_one_token():
     many = 200_000
     shingle_join._partnered(np.full(many, 200), np.zeros(many, dtype=np.int64))
     assert time.perf_counter() - start < 5
+
+
+def test_links_through_a_row_without_an_id(spark):
+    """(1, A), (null, B), (2, C) with A-B and B-C alike, A-C not: one class."""
+    words = [f"w{i}" for i in range(100)]
+    b = " ".join(words)
+    a, c = " ".join(["x", *words[9:]]), " ".join([*words[:91], "y"])
+    rows = [(1, a), (None, b), (2, c), (None, "alone and without an id at all"), (7, "alone"), (None, None)]
+    rows += [(None, " ".join(f"z{i}" for i in range(60))), (None, " ".join(f"z{i}" for i in range(59)))]
+    frame = spark.createDataFrame(rows, "id long, evidence string")
+    want = sorted(near_duplicates(rows), key=str)
+    assert (2, 88, 1) in want
+    got = shingle_join.near_duplicate_evidence(spark, frame).collect()
+    assert sorted(map(tuple, got), key=str) == want
