@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerotrace.functions.clock import flight_key, hhmm_minutes
-from aerotrace.operators.slicing import row_number_sliced
 
 # Service time, "affected" threshold, saturation threshold (minutes).
 SERVICE_MIN = 1.5
@@ -86,15 +85,9 @@ def queue_waits(
         minutes = minutes.withColumn("_moved", F.lit(None).cast("long")).withColumn(
             "_lead2", F.lit(None).cast("double")
         )
-    # Place within the minute, by id. A prefix of the id cuts a crowded minute; string order of
-    # (prefix, id) is the order of the id.
-    placed = row_number_sliced(
-        demand.withColumn("_prefix", F.substring("flight_id", 1, 4)),
-        [*DAY, "scheduled_minute"],
-        ["flight_id"],
-        "_rank",
-        slice_col="_prefix",
-    ).drop("_prefix")
+    # A runway's minute holds a few flights, so their places by id need no further cut.
+    here = Window.partitionBy(*DAY, "scheduled_minute").orderBy("flight_id")
+    placed = demand.withColumn("_rank", F.row_number().over(here))
     n = F.col("_c") + F.col("_rank") - 1
     a = F.col("scheduled_minute")
     base = F.col("_lead") + service * n - a

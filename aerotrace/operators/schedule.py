@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerotrace.functions.clock import flight_key, hhmm_hour, hhmm_minutes
-from aerotrace.operators.slicing import SLICE, lag_sliced
 
 # Bucket length, congestion block, default taxi-in, mph to knots.
 BUCKET_MIN = 15
@@ -170,16 +169,16 @@ def _normalised(edges: DataFrame) -> DataFrame:
 def with_previous_leg(df: DataFrame, fields: list[str]) -> DataFrame:
     """Flights with a tail number and ``prev``: ``fields`` of the tail's previous leg.
 
-    Legs are ordered by date, planned departure and then all identifying columns; dates are
-    the slices, whatever the number of legs of a tail.
+    Legs are ordered by date, planned departure and then all identifying columns. An aircraft flies
+    a few legs a day, so one window holds all legs of a tail: some thousands a year.
     """
     order = ["flight_date", "_dep", "carrier", "flight_number", "origin", "dest", "crs_arr_hhmm"]
     legs = (
         df.where(F.col("tail_number").isNotNull())
         .withColumn("_dep", hhmm_minutes("crs_dep_hhmm", nulls="zero"))
-        .withColumn(SLICE, day_number("flight_date"))
     )
-    return lag_sliced(legs, ["tail_number"], order, fields).drop("_dep", SLICE)
+    earlier = Window.partitionBy("tail_number").orderBy(*order)
+    return legs.withColumn("prev", F.lag(F.struct(*fields)).over(earlier)).drop("_dep")
 
 
 def rotation_edges(df: DataFrame) -> DataFrame:
