@@ -290,3 +290,28 @@ def d13s(spark, sf):
         spark.streams.removeListener(counters)
     rows = [(k, n) for k, n in counters.total.items() if n and not k.startswith("rows:")]
     return spark.createDataFrame(rows, "counter STRING, n LONG")
+
+
+# So long a life that the closing report, a day later, finds some aircraft forgotten and some not.
+LIFE_S = 84_813
+
+
+@query(
+    "k6_state_expiry",
+    sql(
+        f"""
+        SELECT icao24, max(ts) AS last_ts FROM fx_reports GROUP BY 1
+        HAVING max(ts) + INTERVAL {LIFE_S} SECONDS > TIMESTAMP '{CLOSING}' - INTERVAL 30 SECONDS
+        """,
+        "fx_reports",
+    ),
+)
+def k6(spark, sf):
+    """Aircraft still remembered after a quiet time: none whose last report is older than the state's life."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    path, schema = report_files(spark, fx.kept(spark, sf, "reports"))
+    feed = tracks.track_stream(log.read_log(spark, path, schema), ttl_s=LIFE_S)
+    out = scratch_dir(spark, "expiry")
+    writer = feed.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
+    writer.trigger(**ONCE).start().awaitTermination()
+    return tracks.live_tracks(spark, f"{out}-state").where("icao24 <> 'closing'")

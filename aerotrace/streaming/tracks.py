@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -187,6 +187,17 @@ def track_stream(reports: DataFrame, delay: str = "30 seconds", ttl_s: int = MAX
     )
 
 
+def live_tracks(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """``icao24, last_ts`` of the aircraft a track stream remembers, read from the state of its last batch."""
+    operators = spark.read.format("state-metadata").load(checkpoint)
+    (own,) = operators.where("operatorName LIKE 'transformWithState%'").select("operatorId").distinct().collect()
+    state = (
+        spark.read.format("statestore")
+        .option("operatorId", own["operatorId"]).option("stateVarName", "track").load(checkpoint)
+    )
+    return state.select(f"key.{KEY}", F.timestamp_micros("value.us").alias("last_ts"))
+
+
 def enriched_feed(
     tracks: DataFrame, registry: DataFrame, perf: DataFrame, airports: DataFrame
 ) -> DataFrame:
