@@ -59,54 +59,84 @@ def conflict_probability(
         .withColumn("_n0", enu_north("lat_b", "lon_b", "lat_a", "lon_a"))
     )
 
-    def reach(h: int, axis: str) -> tuple[Column, Column]:
+    # Each step reads columns of the step before it. As one expression the formulas would repeat
+    # their inputs at every use, and planning would take longer than the draws.
+    base = {
+        "east_m": -F.col("_e0"),
+        "north_m": -F.col("_n0"),
+        "alt_ft": F.col("alt_ft_a") - F.col("alt_ft_b"),
+    }
+
+    def bounds(h: int, axis: str) -> list[Column]:
         """Least and greatest difference a - b the bounded draws allow on one axis."""
         a, b = ([F.col(f"h{h}_{s}")[f"{k}_{axis}"] for k in QUANTILES] for s in "ab")
-        return F.least(*a) - F.greatest(*b), F.greatest(*a) - F.least(*b)
+        return [
+            (F.least(*a) - F.greatest(*b) + base[axis]).alias(f"_lo{h}_{axis}"),
+            (F.greatest(*a) - F.least(*b) + base[axis]).alias(f"_hi{h}_{axis}"),
+        ]
+
+    def reach(h: int, axis: str) -> list[Column]:
+        """The smallest and the largest distance between these two."""
+        lo, hi = F.col(f"_lo{h}_{axis}"), F.col(f"_hi{h}_{axis}")
+        return [
+            F.greatest(lo, -hi, F.lit(0.0)).alias(f"_away{h}_{axis}"),
+            F.greatest(F.abs(lo), F.abs(hi)).alias(f"_far{h}_{axis}"),
+        ]
 
-    def decided(h: int) -> tuple[Column, Column]:
+    def decided(h: int) -> list[Column]:
         """Whether horizon ``h`` is a conflict for every draw, and whether it can be for any."""
-        away, furthest = [], []
-        base = {
-            "east_m": -F.col("_e0"),
-            "north_m": -F.col("_n0"),
-            "alt_ft": F.col("alt_ft_a") - F.col("alt_ft_b"),
-        }
-        for axis in AXES:
-            lo, hi = (x + base[axis] for x in reach(h, axis))
-            away.append(F.greatest(lo, -hi, F.lit(0.0)))
-            furthest.append(F.greatest(F.abs(lo), F.abs(hi)))
-        flat = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1])
-        sure = (flat(furthest) < SEPARATION_M - SLACK) & (furthest[2] < SEPARATION_FT - SLACK)
-        never = (flat(away) >= SEPARATION_M + SLACK) | (away[2] >= SEPARATION_FT + SLACK)
+        away, far = ([F.col(f"{name}{h}_{axis}") for axis in AXES] for name in ("_away", "_far"))
+        sure = (F.hypot(*far[:2]) < SEPARATION_M - SLACK) & (far[2] < SEPARATION_FT - SLACK)
+        never = (F.hypot(*away[:2]) >= SEPARATION_M + SLACK) | (away[2] >= SEPARATION_FT + SLACK)
         no = F.lit(False)
-        return F.coalesce(sure, no), F.coalesce(~never, no)
+        return [
+            F.coalesce(sure, no).alias(f"_sure{h}"),
+            F.coalesce(~never, no).alias(f"_open{h}"),
+        ]
 
-    for h in horizons:
-        sure, possible = decided(h)
-        placed = placed.withColumn(f"_sure{h}", sure).withColumn(f"_open{h}", possible)
+    for step in (bounds, reach):
+        placed = placed.select("*", *[c for h in horizons for axis in AXES for c in step(h, axis)])
     any_of = lambda name: reduce(
         lambda x, y: x | y, [F.col(f"{name}{h}") for h in horizons]
     )
-    placed = placed.withColumn("_sure", any_of("_sure")).withColumn(
-        "_draw",
-        F.explode(
-            F.sequence(F.lit(1), F.when(any_of("_open") & ~any_of("_sure"), n).otherwise(1))
-        ),
+    placed = placed.select("*", *[c for h in horizons for c in decided(h)]).select(
+        f"{KEY}_a",
+        f"{KEY}_b",
+        "_e0",
+        "_n0",
+        "alt_ft_a",
+        "alt_ft_b",
+        *[f"h{h}_{s}" for h in horizons for s in "ab"],
+        *[f"_open{h}" for h in horizons],
+        any_of("_sure").alias("_sure"),
+        any_of("_open").alias("_any_open"),
+    )
+    drawn = F.explode(
+        F.sequence(F.lit(1), F.when(F.col("_any_open") & ~F.col("_sure"), n).otherwise(1))
     )
+    sides = [(s, axis) for s in "ab" for axis in AXES]
+
+    def uniforms(h: int) -> list[Column]:
+        us = hash_uniforms(seed, f"{KEY}_a", f"{KEY}_b", "_draw", F.lit(h), count=len(sides))
+        return [u.alias(f"_u{h}_{s}_{axis}") for u, (s, axis) in zip(us, sides)]
+
+    def draw(h: int, s: str, axis: str) -> Column:
+        quantiles = [F.col(f"h{h}_{s}")[f"{k}_{axis}"] for k in QUANTILES]
+        return triangular(f"_u{h}_{s}_{axis}", *quantiles).alias(f"_x{h}_{s}_{axis}")
 
     def close(h: int) -> Column:
-        us = hash_uniforms(seed, f"{KEY}_a", f"{KEY}_b", "_draw", F.lit(h), count=6)
-        draws = {}
-        for i, (s, axis) in enumerate((s, axis) for s in "ab" for axis in AXES):
-            q = F.col(f"h{h}_{s}")
-            draws[s, axis] = triangular(us[i], *[q[f"{k}_{axis}"] for k in QUANTILES])
-        de = draws["a", "east_m"] - F.col("_e0") - draws["b", "east_m"]
-        dn = draws["a", "north_m"] - F.col("_n0") - draws["b", "north_m"]
-        dv = F.col("alt_ft_a") + draws["a", "alt_ft"] - F.col("alt_ft_b") - draws["b", "alt_ft"]
-        near = (F.sqrt(de * de + dn * dn) < SEPARATION_M) & (F.abs(dv) < SEPARATION_FT)
+        x = lambda s, axis: F.col(f"_x{h}_{s}_{axis}")
+        de = x("a", "east_m") - F.col("_e0") - x("b", "east_m")
+        dn = x("a", "north_m") - F.col("_n0") - x("b", "north_m")
+        dv = F.col("alt_ft_a") + x("a", "alt_ft") - F.col("alt_ft_b") - x("b", "alt_ft")
+        near = (F.hypot(de, dn) < SEPARATION_M) & (F.abs(dv) < SEPARATION_FT)
         return F.col(f"_open{h}") & F.coalesce(near, F.lit(False))
 
+    placed = (
+        placed.withColumn("_draw", drawn)
+        .select("*", *[u for h in horizons for u in uniforms(h)])
+        .select("*", *[draw(h, s, axis) for h in horizons for s, axis in sides])
+    )
     hit = reduce(lambda x, y: x | y, [close(h) for h in horizons], F.col("_sure"))
     return placed.groupBy(f"{KEY}_a", f"{KEY}_b").agg(
         F.avg(hit.cast("double")).alias("probability")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from aerotrace.functions.clock import PHASES, WAKE_CATEGORIES, one_hot
@@ -68,21 +68,19 @@ def windows(
     after = (max(horizons) + tol_s) * 1000 + 1 if horizons else 0
     length = max(slice_s * 1000, before, after)
     spread = with_halo(segs, F.col("_ms"), length, before, after)
-    w = Window.partitionBy(KEY, SLICE).orderBy("_ms")
+    # Within one slice of one segment no frame reaches into another segment.
+    w = Window.partitionBy(KEY, SLICE, "segment_start").orderBy("_ms")
     built = spread.withColumn(
         "points", F.collect_list(F.struct(*_POINT)).over(w.rowsBetween(1 - size, 0))
     )
     for h in horizons:
-        near = F.collect_list(
-            F.struct("_ms", "lat", "lon", "baro_alt_ft", "segment_start")
-        ).over(w.rangeBetween((h - tol_s) * 1000, (h + tol_s) * 1000))
-        built = built.withColumn(f"_near_{h}", near)
+        built = built.withColumn(f"_near_{h}", _nearest(w, h, tol_s))
     anchored = built.where(
         F.col(HOME)
         & (F.col("segment_pos") >= size)
         & ((F.col("segment_pos") - size) % stride == 0)
     )
-    targets = F.array(*[_nearest(F.col(f"_near_{h}"), h) for h in horizons])
+    targets = F.array(*[_target(F.col(f"_near_{h}"), h) for h in horizons])
     keep = [c for c in ("type_code", "wtc") if c in df.columns]
     return anchored.select(
         KEY,
@@ -96,28 +94,32 @@ def windows(
     )
 
 
-def _nearest(found: Column, horizon: int) -> Column:
-    """The element nearest to anchor + horizon in the anchor's own segment, with its offset."""
-    wanted = F.col("_ms") + horizon * 1000
-    same = F.filter(found, lambda x: x["segment_start"] == F.col("segment_start"))
-    best = F.array_min(
-        F.transform(
-            same,
-            lambda x: F.struct(
-                F.abs(x["_ms"] - wanted).alias("off"),
-                x["_ms"].alias("ms"),
-                x["lat"].alias("lat"),
-                x["lon"].alias("lon"),
-                x["baro_alt_ft"].alias("alt"),
-            ),
-        )
+def _nearest(w: WindowSpec, horizon: int, tol_s: int) -> Column:
+    """The report nearest to this one's time plus ``horizon``: the last one up to that time or
+    the first one after it, so a frame keeps one row, not a list. The earlier one on a tie."""
+    at, tol = horizon * 1000, tol_s * 1000
+    us = F.unix_micros("ts")
+    place = ("lat", "lon", F.col("baro_alt_ft").alias("alt"))
+    # of reports in the same millisecond the first counts
+    upto = F.max(F.struct(F.col("_ms").alias("ms"), (-us).alias("us"), *place)).over(
+        w.rangeBetween(at - tol, at)
+    )
+    after = F.min(F.struct(F.col("_ms").alias("ms"), us.alias("us"), *place)).over(
+        w.rangeBetween(at + 1, at + tol)
     )
+    return F.struct((F.col("_ms") + at).alias("wanted"), upto.alias("upto"), after.alias("after"))
+
+
+def _target(near: Column, horizon: int) -> Column:
+    upto, after, wanted = near["upto"], near["after"], near["wanted"]
+    earlier = after.isNull() | (wanted - upto["ms"] <= after["ms"] - wanted)
+    pick = lambda f: F.when(earlier, upto[f]).otherwise(after[f])
     return F.struct(
         F.lit(horizon).alias("horizon_s"),
-        best["ms"].alias("ms"),
-        best["lat"].alias("lat"),
-        best["lon"].alias("lon"),
-        best["alt"].alias("alt_ft"),
+        pick("ms").alias("ms"),
+        pick("lat").alias("lat"),
+        pick("lon").alias("lon"),
+        pick("alt").alias("alt_ft"),
     )
 
 
@@ -174,8 +176,13 @@ def window_features(w: DataFrame) -> DataFrame:
         )
 
     last = F.size("points") - 1
-    pairs = F.zip_with(F.slice("points", F.lit(2), last), F.slice("points", F.lit(1), last), step)
-    return w.withColumn("steps", pairs).drop("_p0", "_cos0").where(F.forall("steps", lambda s: F.coalesce(s["dt_s"] > 0, F.lit(False))))
+    later, earlier = F.slice("points", F.lit(2), last), F.slice("points", F.lit(1), last)
+    # Asked of the times alone: a condition on ``steps`` would work them out a second time.
+    rising = F.forall(
+        F.zip_with(later, earlier, lambda c, p: F.coalesce(c["ts"] > p["ts"], F.lit(False))),
+        lambda up: up,
+    )
+    return w.where(rising).withColumn("steps", F.zip_with(later, earlier, step)).drop("_p0", "_cos0")
 
 
 def dest_context(w: DataFrame, lat: str, lon: str) -> DataFrame:
