@@ -40,8 +40,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         ready(spark), rows.select(F.col("key").alias("id"), F.col("doc.text").alias("evidence"))
     )
     kept = classes.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("key")).distinct()
-    # repeated rows of a key lie together after the join
-    first = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    # repeated rows of a key lie together after the join; of rows that differ in other columns
+    # a digest decides, so reruns keep the same one
+    digest = F.xxhash64(*[F.col("doc")[c] for c in docs.columns])
+    first = F.row_number().over(Window.partitionBy("key").orderBy(digest))
     return rows.join(kept, "key", "left_semi").withColumn("n", first).where("n = 1").select("doc.*")
 
 
