@@ -331,6 +331,20 @@ def test_window_kinematics_and_slices(spark):
     assert first.targets[0].ms == int((at(115) - dt.datetime(1970, 1, 1)).total_seconds() * 1000)
 
 
+def test_targets_at_ties_borders_and_gaps(spark):
+    """Of two reports equally far the earlier, of one millisecond the first; none across a gap."""
+    seconds = [0, 8, 12, 20, 20.0002, 40, 70]
+    rows = [("a", T0 + dt.timedelta(seconds=x), float(i), 0.0, 1.0 * i, 0.0, 0.0, False) for i, x in enumerate(seconds)]
+    df = spark.createDataFrame(rows, "icao24 string, ts timestamp, lat double, lon double, baro_alt_ft double, vert_rate_fpm double, heading_deg double, on_ground boolean")
+    for s in (10, 3600):
+        near = windows.nearest_in_time(df, (10, 20), 2, gap_s=25, slice_s=s)
+        got = {(r.anchor_ts, r.horizon_s): r.lat for r in near.collect()}
+        place = lambda i, h: got[rows[i][1], h]
+        assert place(0, 10) == 1.0 and place(0, 20) == 3.0 and place(1, 10) == 3.0
+        assert place(3, 20) == 5.0 and place(2, 20) is None
+        assert place(5, 20) is None and place(6, 10) is None
+
+
 def test_resample_equals_interp(spark):
     rng = random.Random(5)
     t, rows = 0.0, []
