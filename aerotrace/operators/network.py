@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,17 +152,21 @@ def diffuse(
     cols: tuple[str, ...] = NODE_FEATURES,
 ) -> DataFrame:
     """Add ``<graph>_<hop>_<feature>``: features spread over each graph for 1..hops steps."""
-    out = grid
+    spread = []
     for name, graph in edges.items():
         state = grid.select("airport", "bucket", *cols)
         for hop in range(1, hops + 1):
             state = spread_once(state, graph, list(cols))
-            renamed = state.select(
-                "airport", "bucket", *[F.col(c).alias(f"{name}_{hop}_{c}") for c in cols]
-            )
-            out = out.join(renamed, ["airport", "bucket"], "left")
+            spread.append(state.select("airport", "bucket", F.lit(f"{name}_{hop}").alias("_step"), *cols))
     added = [f"{n}_{h}_{c}" for n in edges for h in range(1, hops + 1) for c in cols]
-    return out.fillna(0.0, subset=added)
+    if not spread:
+        return grid
+    steps = reduce(DataFrame.unionByName, spread)
+    wide = steps.groupBy("airport", "bucket").agg(*[
+        F.max(F.when(F.col("_step") == f"{n}_{h}", F.col(c))).alias(f"{n}_{h}_{c}")
+        for n in edges for h in range(1, hops + 1) for c in cols
+    ])
+    return grid.join(wide, ["airport", "bucket"], "left").fillna(0.0, subset=added)
 
 
 def recent_node_ops(legs: DataFrame, as_of, buckets: int = TRAILING) -> DataFrame:
